@@ -4,12 +4,13 @@ The index maps a 64-bit key of a text (the head of its SHA-256) to a bucket. A d
 of `2**depth` entries names the bucket of each key prefix; buckets that hold more than
 `capacity` keys split, and the directory doubles when a split needs one more bit. Owner
 tasks take whole buckets, that is ranges of keys, chain the different texts that share a
-key and compare their bytes; only keys that occur more than once reach that step.
+key and compare their bytes; keys that occur once need no chain.
 
 Scale: texts are hashed where they are read. The first shuffle moves (key, count) pairs
-combined before the shuffle, so a group of copies is one row a task. Texts move only for
-keys that repeat, grouped by their bytes first, again with a map-side combine: a group
-that holds a third of all rows sends one text a task. The directory is the only thing
+combined before the shuffle, so a group of copies is one row a task. Texts move once,
+grouped by key and bytes with a map-side combine: a group that holds a third of all rows
+sends one text a task. (A semi-join with the repeated keys first would move as much unless
+those keys could be broadcast, and nothing bounds them.) The directory is the only thing
 collected; it is cut from a histogram of at most `2**max_depth` prefixes.
 
 Defined results: a null text counts as empty; a null doc_id is below any other and stays
@@ -99,8 +100,7 @@ def chains(docs: DataFrame, index: DataFrame) -> DataFrame:
         "key", F.conv(F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, 16), 16, -10).cast("long")
     )
     same = (
-        texts.join(index, "key", "left_semi")
-        .groupBy("key", "body")
+        texts.groupBy("key", "body")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("key", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, piece_fst
 from .common import table
 
 
@@ -16,9 +16,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.encoded(table(spark, sf_dir, "documents"), ["doc_id"], piece_fst.model_bytes())
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_piece_codec": op7_piece_codec,
 }
 
 ORACLES = {

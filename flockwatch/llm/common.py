@@ -71,3 +71,32 @@ def text_of(column: str = "text") -> Column:
 def utf8(column: str = "text") -> Column:
     """The UTF-8 bytes of a text, null as none."""
     return text_of(column).cast("binary")
+
+
+def map_texts(docs: DataFrame, keep: list[str], fields: str, make) -> DataFrame:
+    """Run a per-text function over Arrow batches.
+
+    `make()` is called once a task and returns a function from a list of UTF-8 byte strings
+    (null as empty) to one list or Arrow array for each of `fields`; the columns `keep` pass through.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(docs.sparkSession)
+    inner = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("_utf8"))
+    added = StructType.fromDDL(fields)
+    schema = StructType(inner.schema.fields[:-1] + added.fields)
+    arrow = to_arrow_schema(added)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = work(batch.column(batch.num_columns - 1).to_pylist())
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns += [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(found, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return inner.mapInArrow(run, schema)

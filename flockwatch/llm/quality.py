@@ -1,12 +1,12 @@
 """Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer.
 
-Labellers look at a text's words, lines and marks and vote good (+1), bad (-1) or nothing
-(0). Expectation-maximisation over the votes of all documents estimates each labeller's
+Labellers look at a text's words, lines and marks and vote good (+), bad (-) or nothing
+(0), or cannot look at so short a text (.). Expectation-maximisation over the votes of all documents estimates each labeller's
 accuracy and the share of good documents, without any label. The posteriors that follow
 train a linear scorer on hashed character-class sequences and bucketed statistics, which
 decides: documents that score under `THRESHOLD` go.
 
-Scale: votes are a string of eight signs, so all documents reduce to at most 3^8 counted
+Scale: votes are a string of nine signs, so all documents reduce to at most 4^9 counted
 patterns, combined before the shuffle; EM runs on those on the driver. The scorer is fitted
 on at most about `SAMPLE` documents chosen by a hash of their text at a rate set from the
 count (a documented bound). Scoring has no shuffle; the model is `BINS` numbers.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +31,9 @@ from .common import map_texts
 BINS = 4096
 SAMPLE = 6000
 THRESHOLD = 0.5
-LABELLERS = ("marks", "capitals", "shouts", "variety", "cells", "function_words", "punctuation", "lines")
+#: Labellers are taken to be better than chance: a bad vote is so many times likelier on bad documents.
+LEAST_ODDS = 400.0
+LABELLERS = ("marks", "capitals", "shouts", "variety", "cells", "function_words", "punctuation", "lines", "runs")
 
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = [w.encode() for w in (
@@ -52,11 +55,11 @@ _classes = bytes(_classes)
 
 
 def statistics(raw: bytes) -> list[float]:
-    """Words; then shares: marked words, capitals, shouts, commonest word, cells, function words, sentence marks, repeated lines."""
+    """Words; then shares: marked words, capitals, shouts, commonest word, cells, function words, sentence marks, repeated lines, words that repeat the one before."""
     words = raw.split()
     n = len(words)
     if not n:
-        return [0.0] * 9
+        return [0.0] * 10
     counts = Counter(words)
     upper = len(raw) - len(raw.translate(None, _upper))
     lower = len(raw) - len(raw.translate(None, _lower))
@@ -71,33 +74,32 @@ def statistics(raw: bytes) -> list[float]:
         sum(counts[w] for w in FUNCTION_WORDS) / n,
         (raw.count(b". ") + raw.count(b", ") + raw.count(b".\n") + raw.endswith(b".")) / n,
         1 - len(set(lines)) / len(lines) if len(lines) > 2 else -1.0,
+        sum(map(eq, words, words[1:])) / n,
     ]
 
 
-def votes(s: list[float]) -> list[int]:
-    """One vote a labeller; short texts give most of them nothing to go by."""
-    n, marks, capitals, shouts, commonest, cells, function, stops, lines = s
+def votes(s: list[float]) -> list[int | None]:
+    """One vote a labeller: most look for one kind of junk, two for ordinary prose; None where there is too little text."""
+    n, marks, capitals, shouts, commonest, cells, function, stops, lines, runs = s
     if not n:
-        return [0] * len(LABELLERS)
-    long_ = n >= 20
-
-    def side(value, good, bad):
-        return 1 if value <= good else -1 if value >= bad else 0
-
+        return [None] * len(LABELLERS)
+    if n < 20:
+        return [-(marks >= 0.2), None, -(shouts >= 0.2), None, -(cells >= 0.2), None, None, None, None]
     return [
-        side(marks, 0.02, 0.2),
-        side(capitals, 0.25, 0.5),
-        side(shouts, 0.02, 0.2),
-        side(commonest, 0.2, 0.35) if long_ else 0,
-        side(cells, 0.02, 0.2),
-        side(-function, -0.08, -0.02) if long_ else 0,
-        side(-stops, -0.04, -0.015) if long_ else 0,
-        side(lines, 0.2, 0.5) if lines >= 0 else 0,
+        -(marks >= 0.2),
+        -(capitals >= 0.5),
+        -(shouts >= 0.2),
+        -(commonest >= 0.3),
+        -(cells >= 0.2),
+        1 if function >= 0.08 else -(function <= 0.01),
+        1 if 0.03 <= stops <= 0.5 else -(stops <= 0.01),
+        -(lines >= 0.5) if lines >= 0 else None,
+        -(runs >= 0.2),
     ]
 
 
-def pattern(v: list[int]) -> str:
-    return "".join("-0+"[x + 1] for x in v)
+def pattern(v: list[int | None]) -> str:
+    return "".join("." if x is None else "-0+"[x + 1] for x in v)
 
 
 @dataclass
@@ -109,23 +111,25 @@ class WeakModel:
 
     @classmethod
     def fit(cls, counted: dict[str, int], rounds: int = 60) -> "WeakModel":
-        """EM over counted vote patterns, begun from their majority."""
+        """EM over counted vote patterns, begun from whether any labeller finds junk."""
         k = len(LABELLERS)
         if not sum(counted.values()):
             return cls(0.5, np.full((k, 2, 3), 1 / 3))
         keys = sorted(counted)
-        v = np.array([["-0+".index(c) for c in key] for key in keys])
         n = np.array([counted[key] for key in keys], dtype=float)
-        margin = (v - 1).sum(1)
-        good = 1 / (1 + np.exp(-margin + 0.5 * k / 2))
+        seen = np.array([[c != "." for c in key] for key in keys])
+        v = np.array([["-0+.".index(c) % 3 for c in key] for key in keys])
+        good = np.array([0.1 if "-" in key else 0.9 for key in keys])
         model = None
         for _ in range(rounds):
             prior = float(np.clip((n * good).sum() / n.sum(), 0.01, 0.99))
             chance = np.empty((k, 2, 3))
             for truth, weight in enumerate((n * (1 - good), n * good)):
                 for j in range(k):
-                    c = np.bincount(v[:, j], weight, 3) + 0.5
+                    c = np.bincount(v[:, j], weight * seen[:, j], 3) + 0.1
                     chance[j, truth] = c / c.sum()
+            chance[:, 1, 0] = np.minimum(chance[:, 1, 0], chance[:, 0, 0] / LEAST_ODDS)
+            chance /= chance.sum(2, keepdims=True)
             model = cls(prior, chance)
             new = np.array([model.posterior(key) for key in keys])
             if np.abs(new - good).max() < 1e-9:
@@ -134,14 +138,12 @@ class WeakModel:
         return model
 
     def posterior(self, key: str) -> float:
-        """Chance that a document with these votes is good; a labeller that says nothing counts for nothing."""
+        """Chance that a document with these votes is good; a labeller that couldn't look counts for nothing."""
         logit = np.log(self.prior / (1 - self.prior))
         for j, c in enumerate(key):
-            x = "-0+".index(c)
-            if x != 1:
-                said = self.chance[j][:, [0, 2]]
-                said = said / said.sum(1, keepdims=True)
-                logit += np.log(said[1, x // 2] / said[0, x // 2])
+            if c != ".":
+                bad, good = self.chance[j][:, "-0+".index(c)]
+                logit += np.log(good / bad)
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
     def accuracies(self) -> dict[str, float]:
@@ -166,11 +168,11 @@ def hashed(raw: bytes, s: list[float]) -> np.ndarray:
         np.log1p(out, out)
         out /= max(1e-9, np.sqrt((out * out).sum()))
     for k, value in enumerate(s[1:]):
-        out[half + ((k * 64 + int(min(20, max(-1, value * 20)) + 1)) * 40503) % half] += 0.5
+        out[half + ((k * 64 + int(min(20, max(-1, value * 20)) + 1)) * 40503) % half] += 1.0
     return out
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 300) -> np.ndarray:
+def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps; the last weight is the offset."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = v = np.zeros(x.shape[1])

@@ -10,8 +10,8 @@ Four machines are composed with each input:
   the whole text gives exactly if every two neighbours pass, so one path is left.
 
 Weights count emitted pieces; the tropical shortest path over (position, last piece) is
-the encoding, found depth first as no other path is accepted. No piece holds a mark after another character, hence every path passes
-through the places where a mark follows another character, and the text is composed
+the encoding, found depth first as no other path is accepted. No piece holds a mark after
+another character, hence every path passes through the places where a mark follows one, and the text is composed
 stretch by stretch between them; paths of stretches seen lately are kept.
 
 Scale: no shuffle; texts are encoded where they are read. The model (half a MB, of fixed
@@ -32,7 +32,7 @@ from .common import map_texts
 MARK = "▁"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 #: Stretches and pairs of pieces whose result a task remembers.
-KEEP_PATHS, KEEP_PAIRS = 300_000, 1_000_000
+KEEP_PATHS, KEEP_PAIRS = 600_000, 1_000_000
 
 
 def _fields(raw: bytes):
@@ -99,33 +99,48 @@ class Codec:
         self.fallback = frozenset(self.bytes)
         if any(re.search(f"[^{MARK}]{MARK}", text) for text in self.ids):
             raise ValueError("a piece holds a mark after another character")
+        # no path crosses a place between two characters that no piece holds side by side
+        self.inside = {text[k - 1 : k + 1] for text in self.ids for k in range(1, len(text))}
         # the trie: every prefix of a piece is a state, a piece's state emits it
         self.states = {text[:k]: -1 for text in self.ids for k in range(1, len(text))} | self.ids
         self.paths: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The characters of `text`, joined pair by pair by best rank, leftmost first."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(a + b, 1e30), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1e30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
     def passes(self, left: int, right: int) -> bool:
-        """Whether the acceptor lets piece `right` follow `left`; -1 stands for the start, the end and bytes."""
+        """Whether the acceptor lets piece `right` follow `left`; -1 stands for the start and for bytes.
+
+        The characters of both are joined pair by pair, best rank and then leftmost first;
+        the pair passes if that ends with just the two and never joins across their border.
+        """
         key = (left + 1) << 32 | right + 1
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= KEEP_PAIRS:
                 self.pairs.clear()
-            both = [self.text[x] for x in (left, right) if x >= 0]
-            found = self.pairs[key] = self.merged("".join(both)) == both
+            first = self.text[left] if left >= 0 else ""
+            found = self.pairs[key] = self._joins(list(first + self.text[right]), len(first))
         return found
 
+    def _joins(self, parts: list[str], border: int) -> bool:
+        rank = self.rank.get
+        ranks = [rank(a + b, 1e30) for a, b in zip(parts, parts[1:])]
+        least = 1 + (border > 0)
+        while len(parts) > least:
+            best = min(ranks)
+            at = ranks.index(best)
+            if best == 1e30 or at == border - 1:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], 1e30)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], 1e30)
+            if at < border:
+                border -= 1
+        return not ranks or min(ranks) == 1e30
+
     def arcs(self, stretch: str, i: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """What the pieces and byte fallback can read at `i`: (end, piece or -1, emitted), cheapest way first."""
         states, out, n = self.states, [], len(stretch)
@@ -180,13 +195,22 @@ class Codec:
     def path(self, stretch: str) -> tuple[int, ...]:
         found = self.paths.get(stretch)
         if found is None:
-            found = self.older.get(stretch) or self.shortest(stretch)
+            found = self.older.get(stretch) or self.split(stretch)
             if len(self.paths) >= KEEP_PATHS // 2:
                 self.older, self.paths = self.paths, {}
             if len(stretch) < 200:
                 self.paths[stretch] = found
         return found
 
+    def split(self, stretch: str) -> tuple[int, ...]:
+        """The path of a stretch by way of the places in it that every path passes through."""
+        inside = self.inside
+        cuts = [k for k, a in enumerate(zip(stretch, stretch[1:]), 1) if a[0] + a[1] not in inside]
+        if not cuts:
+            return self.shortest(stretch)
+        parts = [stretch[a:b] for a, b in zip([0, *cuts], [*cuts, len(stretch)])]
+        return tuple(chain.from_iterable([self.paths.get(p) or self.older.get(p) or self.path(p) for p in parts]))
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python worker holds at a time.
@@ -100,3 +100,27 @@ def map_texts(docs: DataFrame, keep: list[str], fields: str, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return inner.mapInArrow(run, schema)
+
+
+#: Name of the column that tells rows apart by doc_id and text where doc_id alone may repeat.
+ROW_KEY = "_row_key"
+
+
+def row_key(text_sha: Column | None = None) -> Column:
+    """A hash of doc_id and text; `text_sha` is the text's SHA-256 if it is there already."""
+    sha = F.sha2(utf8(), 256) if text_sha is None else text_sha
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), sha).cast("binary"), 256)
+
+
+def take_rows(docs: DataFrame, keys: DataFrame, times: str | None = None) -> DataFrame:
+    """The rows of `docs` whose key is in `keys` (its only column but `times`), once each, or as often as `times` says.
+
+    Join and numbering share one exchange on the key, which no two different rows have in common.
+    """
+    named = docs.withColumn(ROW_KEY, row_key())
+    met = named.join(keys, ROW_KEY, "left_semi" if times is None else "inner")
+    first = Window.partitionBy(ROW_KEY).orderBy(ROW_KEY)
+    rows = met.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    if times is not None:
+        rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import ROW_KEY, cut, row_key, take_rows, text_of
 
 CAPACITY = 50_000
 MAX_DEPTH = 14
@@ -129,9 +129,5 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def survivors(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of `docs`, all columns, that the groups keep; a repeated row is kept once."""
-    stay = exact_groups(docs, capacity).where("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_sha"))
-    stay = cut(stay)
-    sha = F.sha2(text_of().cast("binary"), 256)
-    hit = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (sha == F.col("keep_sha")), "left_semi")
-    nth = Window.partitionBy(F.col("doc_id"), F.xxhash64("text")).orderBy(F.lit(1))
-    return hit.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").drop("_nth")
+    kept = exact_groups(docs, capacity).where("kept").select(row_key(F.col("text_sha256")).alias(ROW_KEY))
+    return take_rows(docs, kept)

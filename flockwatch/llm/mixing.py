@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import ROW_KEY, cut, row_key, take_rows, text_of
 
 #: Weights go round the sources by code point.
 WEIGHTS = (5, 2, 1)
@@ -31,9 +31,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and the hash-random key of each row."""
+def sizes(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words) and the hash-random key of each row, and columns `also`."""
     return docs.select(
+        *also,
         "doc_id",
         "source",
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
@@ -69,9 +70,9 @@ def targets(by_source: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> D
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, range_rows: int = RANGE_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, and where the document's words start in its source."""
-    rows = cut(sizes(docs))
+    rows = cut(sizes(docs, also))
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     goal = targets(by_source, weights, most).withColumn("ranges", F.ceil(F.col("rows") / range_rows)).drop("rows")
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, range_rows: i
     dealt = (
         rows.alias("r")
         .join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-        .select("r.source", "doc_id", "size", "key", "source_size", "target", span.alias("range"))
+        .select(*also, "r.source", "doc_id", "size", "key", "source_size", "target", span.alias("range"))
     )
     within = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
         Window.unboundedPreceding, -1
@@ -94,6 +95,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, range_rows: i
         summed.alias("s")
         .join(range_offsets(dealt).alias("o"), F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.range") == F.col("o.range")))
         .select(
+            *also,
             "doc_id",
             "size",
             "source_size",
@@ -119,6 +121,18 @@ def range_offsets(dealt: DataFrame) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as the mix takes it.
+
+    Documents stay whole: the one in each source where the budget ends is taken if at
+    least half of it fits.
+    """
+    share = mix(docs.select("doc_id", "source", "text", row_key().alias(ROW_KEY)), also=(ROW_KEY,))
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5)
+    times = share.where("size > 0").groupBy(ROW_KEY).agg(F.sum(copies).alias("_times")).where("_times > 0")
+    return take_rows(docs, times, "_times")
+
+
 ORACLE = rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-BINS = 4096
-SAMPLE = 6000
-THRESHOLD = 0.5
+BINS = 2048
+SAMPLE = 4000
+THRESHOLD = 0.4
 #: Labellers are taken to be better than chance: a bad vote is so many times likelier on bad documents.
 LEAST_ODDS = 400.0
 LABELLERS = ("marks", "capitals", "shouts", "variety", "cells", "function_words", "punctuation", "lines", "runs")
@@ -164,7 +164,7 @@ def hashed(raw: bytes, s: list[float]) -> np.ndarray:
     half = BINS // 2
     if len(c) >= 4:
         code = ((c[:-3] * 17 + c[1:-2]) * 17 + c[2:-1]) * 17 + c[3:]
-        out[:half] = np.bincount((code * np.uint32(2654435761)) >> np.uint32(21), minlength=half)
+        out[:half] = np.bincount((code * np.uint32(2654435761)) >> np.uint32(22), minlength=half)
         np.log1p(out, out)
         out /= max(1e-9, np.sqrt((out * out).sum()))
     for k, value in enumerate(s[1:]):
@@ -172,14 +172,14 @@ def hashed(raw: bytes, s: list[float]) -> np.ndarray:
     return out
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
+def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps; the last weight is the offset."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = v = np.zeros(x.shape[1])
-    step = 4.0 / max(1e-9, np.linalg.norm(x.T @ x / len(x), 2))
+    w = v = np.zeros(x.shape[1] + 1)
+    step = 4.0 / (1.0 + float(np.einsum("ij,ij->i", x, x).mean()))
     for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (p - y) / len(y) + ridge * v)
+        p = 1 / (1 + np.exp(-np.clip(x @ v[:-1].astype(x.dtype) + v[-1], -30, 30)))
+        error = ((p - y) / len(y)).astype(x.dtype)
+        new = v - step * (np.append(error @ x, error.sum()) + ridge * v)
         v = new + t / (t + 3) * (new - w)
         w = new
     return w
@@ -219,7 +219,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     rows = sorted(((r.votes, bytes(r.vector)) for r in rows))
     if not rows:
         return QualityModel(weak, np.zeros(BINS + 1))
-    x = np.stack([np.frombuffer(r[1], dtype="<f4") for r in rows]).astype(np.float64)
+    x = np.frombuffer(b"".join(r[1] for r in rows), dtype="<f4").reshape(len(rows), BINS)
     return QualityModel(weak, fit_scorer(x, np.array([weak.posterior(r[0]) for r in rows])))
 
 

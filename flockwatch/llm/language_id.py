@@ -11,8 +11,8 @@ step as one array operation; every symbol of every text is parsed.
 
 Scale: the automata are built from at most `SAMPLE_SYMBOLS` symbols a language, drawn from
 at most `SAMPLE_ROWS` rows a language by the hash of doc_id (documented bounds; what is
-broadcast is those symbols). Counting languages and choosing rows are two small
-aggregations; classifying has no shuffle.
+broadcast is those symbols). Languages are counted (a row each) and rows are chosen where
+they are read; classifying has no shuffle.
 
 Defined results: `und` and score 0 for a null text, one without letters, or if nothing
 could be learned; score is 1 - best / second best (1 if one language was learned). Rows
@@ -22,7 +22,8 @@ whose doc_id is null count as held out. Ties go to the language first by code po
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,14 +54,16 @@ def draw(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS
     by that hash's order; each gives a window whose place depends on the hash too.
     """
     learn = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw_ = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    rate = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n")) * (1 << 30)
+    picked = []
+    for lang, n in sorted(counts.items()):
+        rate = min(1.0, 4.0 * rows / n)
+        picked.append((F.col("lang") == lang) & (draw_ < int(rate * (1 << 30))))
+    if not picked:
+        return {}
     picked = (
-        learn.select("lang", text_of().alias("body"), draw_.alias("draw"))
-        .join(counts, "lang")
-        .where(F.col("draw") < rate)
-        .orderBy("lang", "draw", "body")
+        learn.where(reduce(or_, picked)).select("lang", text_of().alias("body"), draw_.alias("draw")).orderBy("lang", "draw", "body")
     )
     share = max(1, symbols // max(1, rows // 2))
     taken: dict[str, list[str]] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, mixing, pii, piece_fst, quality, simhash
+from . import embedding_dedup, exact_dedup, language_id, license_scan, mixing, pii, piece_fst, quality, simhash
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.encoded(table(spark, sf_dir, "documents"), ["doc_id"], piece_fst.model_bytes())
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_piece_codec": op7_piece_codec,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,14 +16,42 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, by way of the shared folder, wherever the driver was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root).as_posix()}")
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}/{root.name}.zip"
+    at, fs = _filesystem(spark, path)
+    out = fs.create(at)
+    out.write(held.getvalue())
+    out.close()
+    _scratch.append((spark, path))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that long texts travel in."""
+    """Bound the Arrow batches that long texts travel in, and see that executors can import us."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -37,9 +68,8 @@ def shared_dir(spark: SparkSession) -> str:
 def _sweep() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at, fs = _filesystem(spark, path)
+            fs.delete(at, True)
         except Exception:  # the session may be gone by now
             return
 

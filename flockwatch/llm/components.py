@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 
 MOST_ROUNDS = 60
 
@@ -66,6 +66,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of `links` (u, v: long) that is not the smallest of its component."""
+    ship(links.sparkSession)
     tidy = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = cut(tidy.mapInArrow(forest, "u long, v long").distinct())
     before = None

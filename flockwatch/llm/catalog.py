@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, language_id, license_scan, mixing, pii, piece_fst, quality, simhash
+from . import embedding_dedup, exact_dedup, language_id, license_scan, mixing, pii, piece_fst, quality, simhash, suffix_dedup
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.encoded(table(spark, sf_dir, "documents"), ["doc_id"], piece_fst.model_bytes())
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_piece_codec": op7_piece_codec,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_pii": op9_pii,

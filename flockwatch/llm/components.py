@@ -1,6 +1,8 @@
 """Connected components of links, without ever holding them in one place.
 
-Large-star and small-star rounds alternate: in a large star every node hands its larger
+Links first shrink to a spanning forest in each task. If what is left fits one task with
+room to spare (`SMALL` edges, a few MB) one executor finishes it; else large-star and
+small-star rounds alternate, with the same result: in a large star every node hands its larger
 neighbours to the smallest it sees, in a small star its smaller ones. Edges never grow in
 number and each round is two aggregations and two joins; rounds are logarithmic in the
 longest chain. Each round's edges are written to the shared folder, so a lost executor
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut, ship
 
 MOST_ROUNDS = 60
+SMALL = 200_000
 
 
 def forest(batches):
@@ -45,7 +48,7 @@ def forest(batches):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 200_000:
+        if len(parent) > 2 * SMALL:
             yield star()
     if parent:
         yield star()
@@ -64,11 +67,14 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """node, root for every node of `links` (u, v: long) that is not the smallest of its component."""
     ship(links.sparkSession)
     tidy = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = cut(tidy.mapInArrow(forest, "u long, v long").distinct())
+    if edges.count() <= small:
+        done = edges.coalesce(1).mapInArrow(forest, "u long, v long")
+        return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     for _ in range(MOST_ROUNDS):
         edges = cut(_small(_large(edges).distinct()).distinct())

@@ -1,4 +1,210 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries over the test tables, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import coordination, hashtags, ngrams, semantics, timeofday
+from ..operators.rows import not_blank, numbered, preprocess, renamed
+from .analyses import REGISTRY
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as messages: the source is who posts, the time follows from the number."""
+    docs = _table(spark, sf_dir, "documents")
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")).cast("timestamp_ntz")
+    return docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("message_id"), F.col("text").alias("message_text"), ts.alias("timestamp"))
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("timestamp"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.concat(F.lit("['"), F.col("event_type"), F.lit("', 'u"), (F.col("user_id") % 7).cast("string"), F.lit("']"))
+    return _table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("time"), tags.alias("hashtags"))
+
+
+def temporal_interval_count(spark, sf_dir):
+    return timeofday.interval_count(_posts(spark, sf_dir))
+
+
+def temporal_minute_buckets(spark, sf_dir):
+    return timeofday.minute_buckets(_posts(spark, sf_dir))
+
+
+def temporal_bars(spark, sf_dir):
+    counts = temporal_interval_count(spark, sf_dir)
+    return REGISTRY.presenter("temporal", "time_interval_frequencies").chart(counts)
+
+
+def temporal_peak(spark, sf_dir):
+    return temporal_minute_buckets(spark, sf_dir).agg(F.max("count").alias("peak"))
+
+
+def time_coordination(spark, sf_dir):
+    return coordination.cooccurrence(_posts(spark, sf_dir))
+
+
+def hashtag_gini(spark, sf_dir):
+    found = hashtags.gini_by_hour(_tagged(spark, sf_dir), order="event_id")
+    return found.select("time", "count", F.round(F.col("gini").cast("double"), 5).alias("gini"), F.array_join("hashtags", ",").alias("hashtags"))
+
+
+def ngram_message_counts(spark, sf_dir):
+    own = ngrams.messages(_messages(spark, sf_dir), number=False)
+    return ngrams.message_counts(own, "message_id")
+
+
+def ngram_defs(spark, sf_dir):
+    own = ngrams.messages(_messages(spark, sf_dir), number=False)
+    return ngrams.occurrences(own).groupBy("words", "n").agg(F.count(F.lit(1)).alias("met"))
+
+
+def ngram_ids(spark, sf_dir):
+    return ngrams.definitions(ngrams.messages(_messages(spark, sf_dir)))
+
+
+def ngram_stats(spark, sf_dir):
+    return ngrams.repeated_words(_messages(spark, sf_dir))
+
+
+def ngram_full(spark, sf_dir):
+    return ngrams.repeated_words_full(_messages(spark, sf_dir))
+
+
+def ngram_scatter(spark, sf_dir):
+    return REGISTRY.presenter("ngrams", "ngram_repetition_by_poster").chart(ngram_stats(spark, sf_dir))
+
+
+def scan_count(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("num_rows"))
+
+
+def preprocess_projection(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").withColumn("seconds", F.unix_seconds(F.col("ts").cast("timestamp_ltz")))
+    convert = {"seconds": semantics.BY_NAME["timestamp_seconds"].convert(F.col("seconds"))}
+    return preprocess(events, {"message": "event_id", "author": "user_id", "posted": "seconds"}, convert)
+
+
+def export_rename(spark, sf_dir):
+    labels = {"user_id_1": "First User", "cooccurrence_count": "Windows Shared"}
+    return renamed(time_coordination(spark, sf_dir), labels)
+
+
+def filter_not_blank(spark, sf_dir):
+    return not_blank(_messages(spark, sf_dir), "message_text", "user_id").select("message_id", "user_id")
+
+
+def surrogate_ids(spark, sf_dir):
+    return numbered(_table(spark, sf_dir, "nation"), "place").select("place", "n_nationkey")
+
+
+def semantic_inference(spark, sf_dir):
+    rows = []
+    for name in ("events", "documents", "pages"):
+        found = semantics.infer(_table(spark, sf_dir, name))
+        rows += [(name, c, s.name, s.data_type) for c, s in found.items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, semantic string, data_type string")
+
+
+def column_automap(spark, sf_dir):
+    rows = []
+    for analysis in REGISTRY.primaries():
+        events = _table(spark, sf_dir, "events")
+        columns = {c: s.data_type for c, s in semantics.infer(events).items()}
+        mapped = semantics.automap(columns, [(i.name, i.data_type, list(i.hints)) for i in analysis.inputs])
+        rows += [(analysis.id, i.name, mapped.get(i.name)) for i in analysis.inputs]
+    return spark.createDataFrame(rows, "analysis string, input string, mapped string")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        temporal_interval_count, temporal_minute_buckets, temporal_bars, temporal_peak, time_coordination, hashtag_gini,
+        ngram_message_counts, ngram_defs, ngram_ids, ngram_stats, ngram_full, ngram_scatter, scan_count, preprocess_projection,
+        export_rename, filter_not_blank, surrogate_ids, semantic_inference, column_automap,
+    )
+}
+
+_interval = """
+select strftime(date_trunc('hour', ts), '%H:%M:%S') as time_interval_start,
+       strftime(date_trunc('hour', ts) + interval 1 hour, '%H:%M:%S') as time_interval_end, count(ts) as "count"
+from events group by 1, 2"""
+_buckets = """
+select b as bucket,
+       lpad((b * 30 // 60)::varchar, 2, '0') || ':' || lpad((b * 30 % 60)::varchar, 2, '0') || '-' ||
+       case when b = 47 then '00:00' else lpad(((b + 1) * 30 // 60)::varchar, 2, '0') || ':' || lpad(((b + 1) * 30 % 60)::varchar, 2, '0') end as time_interval,
+       count(*) as "count"
+from (select (hour(ts) * 60 + minute(ts)) // 30 as b from events where ts is not null) group by 1"""
+_pairs = """
+with w as (
+  select distinct time_bucket(interval 5 minute, ts) - o * interval 5 minute as w, user_id
+  from events, (values (0), (1), (2)) t(o)
+  where ts is not null and user_id is not null
+    and time_bucket(interval 5 minute, ts) - o * interval 5 minute
+        >= (select time_bucket(interval 5 minute, min(ts)) from events where user_id is not null))
+select a.user_id as user_id_1, b.user_id as user_id_2, count(*) as cooccurrence_count from w a join w b using (w) group by 1, 2"""
+_grams = r"""
+with t as (
+  select doc_id, source, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') as t from documents
+  where text is not null and text <> '' and source is not null and source <> ''),
+p as (select doc_id, source, t, unnest(range(1, len(t) - 1)) as i from t where len(t) >= 3),
+q as (
+  select doc_id, source, n, i, array_to_string(t[i:i + n - 1], ' ') as words
+  from p, (values (3), (4), (5)) v(n) where i + n - 1 <= len(t)),
+mc as (select doc_id, source, n, words, count(*) as c from q group by all),
+st as (
+  select words, n, sum(c)::bigint as total_reps, count(distinct source) as distinct_posters
+  from mc group by all having sum(c) > 1)
+"""
+
+ORACLES = {
+    "temporal_interval_count": _interval,
+    "temporal_minute_buckets": _buckets,
+    "temporal_bars": f"""select time_interval_start[1:5] || '-' || time_interval_end[1:5] as x, "count" as y from ({_interval})""",
+    "temporal_peak": f"""select max("count") as peak from ({_buckets})""",
+    "time_coordination": _pairs,
+    "hashtag_gini": """
+with t as (select event_id, ts, '[''' || event_type || ''', ''u' || (user_id % 7) || ''']' as h from events),
+l as (select event_id, ts, string_split(regexp_replace(trim(h, '[]'), '['' ]', '', 'g'), ',') as tags from t where h <> '[]'),
+x as (select event_id, ts, date_trunc('hour', ts) as time, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from l),
+c as (select time, tag, count(*) as c from x group by all),
+r as (select time, c, row_number() over (partition by time order by c, tag) as i, count(*) over (partition by time) as n from c),
+g as (select time, sum(c)::bigint as "count", (max(n) + 1 - 2.0::double * sum((n - i + 1) * c) / sum(c)) / max(n) as gini from r group by 1),
+s as (select time, string_agg(tag, ',' order by ts, event_id, pos) as hashtags from x group by 1)
+select time, "count", round(gini::float::double, 5) as gini, hashtags from g join s using (time)""",
+    "ngram_message_counts": _grams + 'select doc_id as message_id, words, n::bigint as n, c as "count" from mc',
+    "ngram_defs": _grams + "select words, n, count(*) as met from q group by all",
+    "ngram_ids": _grams
+    + ", f as (select words, n, min((row(doc_id, i, n))) as met from q group by all) select (row_number() over (order by met) - 1)::bigint as ngram_id, words, n from f",
+    "ngram_stats": _grams + "select words, n, total_reps, distinct_posters from st",
+    "ngram_full": _grams
+    + """select words, n, total_reps, distinct_posters, source as user_id,
+  (sum(c) over (partition by words, n, source))::int as reps_per_user, doc_id as message_id from st join mc using (words, n)""",
+    "ngram_scatter": _grams + "select distinct_posters as x, total_reps as y, words as hover from st",
+    "scan_count": "select count(*) as num_rows from documents",
+    "preprocess_projection": "select event_id as message, user_id as author, date_trunc('second', ts) as posted from events",
+    "export_rename": f"""select user_id_1 as "First User", user_id_2, cooccurrence_count as "Windows Shared" from ({_pairs})""",
+    "filter_not_blank": "select doc_id as message_id, source as user_id from documents where text is not null and text <> '' and source is not null and source <> ''",
+    "surrogate_ids": "select row_number() over () as place, n_nationkey from nation",
+    "semantic_inference": """
+select * from (values
+  ('events', 'ts', 'timestamp', 'datetime'), ('events', 'event_id', 'integer', 'integer'), ('events', 'user_id', 'integer', 'integer'),
+  ('events', 'event_type', 'identifier', 'identifier'), ('events', 'value', 'float', 'float'), ('events', 'props', 'free_text', 'text'),
+  ('documents', 'doc_id', 'integer', 'integer'), ('documents', 'text', 'free_text', 'text'), ('documents', 'lang', 'identifier', 'identifier'),
+  ('documents', 'source', 'identifier', 'identifier'), ('documents', 'n_chars', 'integer', 'integer'),
+  ('pages', 'page_id', 'integer', 'integer'), ('pages', 'url', 'url', 'url'), ('pages', 'html', 'free_text', 'text')
+) t(table_name, column_name, semantic, data_type)""",
+    "column_automap": """
+select * from (values
+  ('hashtags', 'user_id', 'user_id'), ('hashtags', 'hashtags', 'props'), ('hashtags', 'time', 'ts'),
+  ('ngrams', 'user_id', 'user_id'), ('ngrams', 'message_id', 'event_type'), ('ngrams', 'message_text', 'props'), ('ngrams', 'timestamp', 'ts'),
+  ('temporal', 'timestamp', 'ts'), ('time_coordination', 'user_id', 'user_id'), ('time_coordination', 'timestamp', 'ts')
+) t(analysis, input, mapped)""",
+}

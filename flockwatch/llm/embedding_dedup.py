@@ -53,14 +53,17 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = 40) -> np.ndarray:
 
 
 class Quantiser:
-    """Mean and rotations of one vector length, and the bits that each table reads."""
+    """Rotations of one vector length, and the bits that each table reads.
+
+    The mean stays in: cosine is about angles at the origin, and where all vectors lie close
+    together signs around their mean would be noise.
+    """
 
     def __init__(self, sample: np.ndarray, width: int, tables: int = TABLES):
         d = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.mean = unit.mean(0)
         turns = max(ROTATIONS, -(-LEAST_BITS // d))
-        self.rotation = np.concatenate([learn_rotation(unit - self.mean, SEED + k) for k in range(turns)], 1)
+        self.rotation = np.concatenate([learn_rotation(unit, SEED + k) for k in range(turns)], 1)
         bits = self.rotation.shape[1]
         r = np.random.default_rng(SEED)
         self.weights = np.zeros((bits, tables))
@@ -70,7 +73,7 @@ class Quantiser:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """The key of each vector in each table."""
-        code = ((unit - self.mean) @ self.rotation >= 0).astype(np.float64)
+        code = (unit @ self.rotation >= 0).astype(np.float64)
         return (code @ self.weights).astype(np.int64)
 
 

@@ -120,21 +120,21 @@ class Parser:
         alphabet = sorted({c for _, text in samples for c in text if c != " "})
         code = {c: k + 2 for k, c in enumerate(alphabet)} | {" ": GAP}
         self.width = len(alphabet) + 2
-        tables, roots, offset = [], [], 0
+        tables, ends, offset = [], [], 0
         for _, text in samples:
             moves = suffix_automaton(text)
-            table = np.full((len(moves), self.width), -1, dtype=np.int32)
+            table = np.full((len(moves) + 1, self.width), -1, dtype=np.int32)  # the last state has no moves
             for state, out in enumerate(moves):
                 for c, to in out.items():
                     table[state, code[c]] = to + offset
-            roots.append(offset)
-            offset += len(moves)
+            offset += len(moves) + 1
             tables.append(table)
+            ends.append(offset - 1)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, dtype=np.int32)[:, None]
-        # from the start, a symbol that a language never saw is a phrase of its own
+        # parsing begins, and goes on after a symbol that a language never saw (a phrase of its own), where no move is left
+        self.ended = np.array(ends, dtype=np.int32)[:, None]
         self.again = np.stack([t[0] for t in tables]) if tables else np.zeros((0, self.width), np.int32)
-        self.again = np.where(self.again < 0, self.roots, self.again).astype(np.int32)
+        self.again = np.where(self.again < 0, self.ended, self.again).astype(np.int32)
         self.bits = np.array([math.log2(len(text) + 1) for _, text in samples])
         self.symbol = _symbols(tuple(code.items()))
 
@@ -157,8 +157,8 @@ class Parser:
         size = np.minimum(BLOCK, np.repeat(n, blocks) - nth * BLOCK)
         order = np.argsort(-size, kind="stable")
         begin, size, text_of_block = begin[order], size[order], text_of_block[order]
-        state = np.broadcast_to(self.roots, (len(self.langs), len(begin))).copy()
-        count = np.ones(state.shape, dtype=np.int32)
+        state = np.broadcast_to(self.ended, (len(self.langs), len(begin))).copy()
+        count = np.zeros(state.shape, dtype=np.int32)
         active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
         for t, k in enumerate(active):
             s = symbols[begin[:k] + t]

@@ -1,0 +1,252 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from flockwatch.llm import language_id, license_scan, mixing, pii, piece_fst, quality
+
+from .conftest import rows
+
+
+# licenses
+
+
+def words_of(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def test_license_scan(docs, no_docs):
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for row in rows():
+        words, starts, labels = words_of(row[1]), [], set()
+        for label, phrase in license_scan.BASE:
+            p = phrase.split()
+            own = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+            starts += own
+            labels |= {label} if own else set()
+        r = got[row[0]]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted(labels)) and labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+    assert license_scan.scan(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Under the MIT license and under the MIT License", "mit"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"),
+        ("licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        ("Copyright (c) 2020 Some One. All rights reserved.", "all-rights-reserved"),
+        ("licensed under the apple license version 2", ""),
+        ("Licensed under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2", "gpl-2"),
+    ],
+)
+def test_license_templates(text, labels):
+    a = license_scan.Automaton(license_scan.BASE + license_scan.TEMPLATES)
+    assert license_scan.scan_words(a, 3, [w.encode() for w in words_of(text)])[4] == labels
+
+
+def test_license_markup():
+    a = license_scan.Automaton((("x", "a [b [c] d] e {2} f"),))
+    for text, ok in (("a e f", 1), ("a b d e f", 1), ("a b c d e x f", 1), ("a e x y f", 1), ("a e x y z f", 0), ("a b e f", 0), ("a e", 0), ("z a e f", 0)):
+        assert a.accepts_text([w.encode() for w in text.split()]) == ({"x"} if ok else set()), text
+    with pytest.raises(ValueError):
+        license_scan.Automaton((("x", "a [b"),))
+
+
+# quality
+
+
+def test_quality(spark, docs, no_docs):
+    model = quality.train(docs)
+    got = quality.score(docs, model, ["doc_id"]).collect()
+    assert len(got) == len(rows()) and all(0 <= r.quality <= 1 and len(r.votes) == len(quality.LABELLERS) for r in got)
+    empty = quality.train(no_docs)
+    assert empty.weak.prior == 0.5 and quality.score(no_docs, empty, ["doc_id"]).count() == 0
+
+
+def test_quality_against_labels(spark):
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    got = quality.score(docs, quality.train(docs), ["doc_id"]).join(spark.read.parquet(f"{at}/labels.parquet").withColumnRenamed("quality", "good"), "doc_id").toPandas()
+    good, bad = got[got.good == 1], got[got.good == 0]
+    assert good.kept.mean() >= 0.99 and (~bad.kept).mean() >= 0.85
+
+
+def test_weak_labels_find_accuracies():
+    r = random.Random(1)
+    counted = {}
+    for _ in range(4000):
+        good = r.random() < 0.8
+        votes = "".join("0" if r.random() < 0.3 else ("0" if good else "-") if r.random() < 0.97 else ("-" if good and r.random() < 0.05 else "0") for _ in quality.LABELLERS)
+        counted[votes] = counted.get(votes, 0) + 1
+    model = quality.WeakModel.fit(counted)
+    assert 0.75 < model.prior < 0.85
+    assert all(a > 0.9 for a in model.accuracies().values())
+
+
+# mixing
+
+
+def test_mix_against_brute_force(docs, no_docs):
+    got = mixing.mix(docs, range_rows=5).collect()
+    sizes = [(r[0], r[3], len(re.findall(mixing.WORD, r[1] or ""))) for r in rows()]
+    sources = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, x, n in sizes if x == s) for s in sources}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), float(sum(total.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * total[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 3.0 * total[s] for s in over}
+        left -= sum(3 * total[s] for s in over)
+        open_ -= over
+    by = {}
+    for row in got:
+        s = next(x for i, x, _ in sizes if i == row.doc_id)
+        assert abs(row.target - target[s]) < 1e-6 and row.source_size == total[s] and 0 <= row.taken <= 3 * row.size
+        by[s] = by.get(s, 0) + row.taken
+    assert all(abs(by[s] - target[s]) < 1 for s in sources)
+    key = lambda r: (r[0] is None, *[x or 0 for x in r])
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.mix(docs.repartition(3), range_rows=1000).collect()), key=key)
+    assert mixing.mix(no_docs).count() == 0
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0 and mixing.mixed(no_docs).count() == 0
+
+
+# pieces
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return piece_fst.Codec(piece_fst.model_bytes())
+
+
+def test_pieces_are_the_models(codec):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(1)
+    parts = ["a", "b", "e", "t", "h", " ", "  ", "\n", "▁", "é", "😀", "1", "2", "th", "ing", "<0x0A>", "<s>", "\t", "　", "日", "\x00", "!!", "***", "ABC"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(3000)] + [row[1] or "" for row in rows()]
+    texts += [" " * 700, "ab" * 900, "​́" * 30]
+    for text in texts:
+        assert codec.encode(text) == model.encode(text), repr(text[:80])
+        if "▁" not in text:
+            assert codec.decode(codec.encode(text)) == text
+
+
+def test_piece_query(docs, no_docs, codec):
+    got = {r.doc_id: r for r in piece_fst.encoded(docs, ["doc_id"], piece_fst.model_bytes()).collect()}
+    for row in rows():
+        r, ids = got[row[0]], codec.encode(row[1] or "")
+        assert r.ids == ids and r.n_pieces == len(ids) and r.roundtrip
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
+        assert r.n_fallback == sum(x in codec.fallback for x in ids)
+    assert piece_fst.encoded(no_docs, ["doc_id"], piece_fst.model_bytes()).count() == 0
+
+
+# personal data
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return sorted(out, key=lambda s: (s[1], pii.ORDER[s[0]]))
+
+
+def test_base_spans():
+    r = random.Random(3)
+    parts = ["a", "@", ".", "1", "25", "256", "+", "-", " ", "(", ")", "b.c", "4111111111111111", "_", "é"]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 22)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 200_000, "+1" + "(" * 200_000, "@" * 200_000):
+        pii.base_spans(text)
+        pii.proposals(text)
+
+
+def test_pii_query(docs, no_docs):
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    for row in rows():
+        base = brute_spans(row[1] or "")
+        r = got[row[0]]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+    assert pii.find(no_docs).count() == 0
+
+
+def test_pii_model_selects():
+    s = pii.Selector()
+    found = lambda text: {x[0] for x in s.chosen(text, pii.base_spans(text))}
+    assert "secret" in found('and token = "59b79a44c83160ff605db5295c3f1b8f59a30bf7" then')
+    assert "ssn" in found("his ssn is 123-45-6789 he said")
+    assert not found("released in version 2.0 on page 12 of 300") and not found("the year 2024-01-15 was long") and not found("")
+    drawn = list(pii.examples(1500, seed=99))
+    right = sum((span in s.chosen(text, [])) == ok for text, span, ok in drawn)
+    assert right / len(drawn) > 0.9
+    assert pii.redact("a@b.cc x", [("email", 0, 6)]) == "<email> x"
+
+
+# languages
+
+
+def test_cross_parsing_matches_brute_force():
+    samples = {"a": "the cat sat on the mat", "b": "le chat est la"}
+    parser = language_id.Parser(tuple(samples.items()))
+    for text in ("the chat", "zzz the cat sat", "le le le", "", "123", "sat on la"):
+        total, n, letters = parser.phrases([text])
+        norm = re.sub("[^a-z]+", " ", text)
+        assert n[0] == len(norm) and bool(letters[0]) == bool(re.search("[a-z]", text))
+        for k, sample in enumerate(samples.values()):
+            phrases, i = 0, 0
+            while i < len(norm):
+                j = i + 1
+                while j <= len(norm) and norm[i:j] in sample:
+                    j += 1
+                i = max(i + 1, j - 1)
+                phrases += 1
+            assert total[k, 0] == phrases, (text, sample)
+
+
+def test_language_held_out_accuracy(spark, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(docs, language_id.draw(docs)).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out))
+    held = got[got.held_out]
+    assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.98
+    assert got.score.between(0, 1).all()
+
+
+def test_language_edges(docs, no_docs):
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.draw(docs)).collect()}
+    for row in rows():
+        letters = any(c.isalpha() for c in row[1] or "")
+        assert got[row[0]].lang_pred == ("en" if letters else "und")
+    assert language_id.draw(no_docs) == {} and language_id.identify(no_docs, {}).count() == 0
+    assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}

@@ -12,18 +12,16 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     Places come from the row's partition and its place there; the partitions' sizes (one
     number each) are counted first, so no row moves.
     """
-    mark = "_row_mark"
-    marked = df.withColumn(mark, F.monotonically_increasing_id())
-    part = F.shiftrightunsigned(F.col(mark), 33)
-    sizes = {r.p: r.n for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = {}, 0
+    mark, part = "_row_mark", "_row_part"
+    marked = df.withColumn(mark, F.monotonically_increasing_id()).withColumn(part, F.shiftrightunsigned(F.col(mark), 33))
+    sizes = {r[0]: r[1] for r in marked.groupBy(part).agg(F.count(F.lit(1))).collect()}
+    offsets, total = [], 0
     for p in sorted(sizes):
-        offsets[p] = total
+        offsets.append((p, total))
         total += sizes[p]
-    if not offsets:
-        return df.withColumn(name, F.lit(1).cast("long"))
-    base = F.element_at(F.lit(offsets) if len(offsets) > 1 else F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv]), part)
-    return marked.withColumn(name, (base + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop(mark)
+    base = df.sparkSession.createDataFrame(offsets, f"{part} long, _row_base long")  # as many rows as partitions
+    place = F.col("_row_base") + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return marked.join(F.broadcast(base), part).withColumn(name, place.cast("long")).drop(mark, part, "_row_base")
 
 
 def preprocess(df: DataFrame, mapping: dict[str, str], convert: dict[str, Column] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The time analyses over streams: bounded state behind a watermark."""
+"""The time analyses over streams: bounded state behind a watermark (which takes instants, so times without a zone are cast)."""
 
 from __future__ import annotations
 
@@ -11,14 +11,16 @@ from ..functions.text import hashtag_list
 
 def hashtag_counts(stream: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """window start, tag, count; a window closes when the watermark passes it."""
-    tags = stream.withWatermark("time", late).select("time", F.explode(hashtag_list(F.col("hashtags"))).alias("tag"))
+    timed = stream.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
+    tags = timed.select("time", F.explode(hashtag_list(F.col("hashtags"))).alias("tag"))
     counted = tags.groupBy(F.window("time", every), "tag").agg(F.count(F.lit(1)).alias("count"))
     return counted.select(F.col("window.start").alias("time"), "tag", "count")
 
 
 def active_users(stream: DataFrame, period: str = "15 minutes", every: str = "5 minutes", late: str = "15 minutes") -> DataFrame:
     """window start, user_id, posts: what pairs are made from once a window is closed."""
-    seen = stream.where("user_id is not null").withWatermark("timestamp", late)
+    timed = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    seen = timed.where("user_id is not null").withWatermark("timestamp", late)
     counted = seen.groupBy(F.window("timestamp", period, every), "user_id").agg(F.count(F.lit(1)).alias("posts"))
     return counted.select(F.col("window.start").alias("window_start"), "user_id", "posts")
 

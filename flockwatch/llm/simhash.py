@@ -15,8 +15,10 @@ discarded, survivors are verified by their Hamming distance, and a cell passes o
 for each component in it, never all pairs.
 
 For wider fingerprints with a larger radius (the pipeline's: four lanes, five-word
-shingles, at most 38 of 256 bits, which is an estimated Jaccard similarity of 0.8), tables
-join on drawn groups of 12 blocks each; a pair at similarity 0.9 is met with chance 0.95.
+shingles, at most 52 of 256 bits, which is an estimated cosine similarity of 0.8 between
+shingle counts), tables join on drawn groups of blocks: as many blocks as keep a cell of
+unlike texts at some `FILL` members whatever their number, and as many tables as leave a
+pair whose Jaccard similarity is 0.8 unmet with chance `MISS`.
 
 Scale: equal fingerprints are one row before any search, so a group of copies costs
 nothing; each fingerprint gives one small row a table. Cells too large to compare by
@@ -30,6 +32,7 @@ own row and is never the smallest unless its group has no other.
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import combinations
 
@@ -41,7 +44,10 @@ from .common import ROW_KEY, cut, map_texts, row_key, small_batches, take_rows
 from .components import components
 
 SEED = 42
-WINDOW = 4096
+MATRIX, WINDOW = 512, 4096
+FILL, MISS = 50, 0.05
+#: Chance that a block of two bits has equally many set in both of a pair at Jaccard similarity 0.8 (15 % of bits differ).
+SAME_BLOCK = 0.75
 BLOCKS = 32  # of two bits, a lane
 #: Multipliers that make further lanes of a shingle's hash.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -87,11 +93,13 @@ def distances(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return zero, np.concatenate(table, 1).astype(np.int16)
 
 
-def tables(lanes: int, drawn: int = 32, width: int = 12) -> list[list[int]]:
-    """Groups of blocks that tables join on."""
+def tables(lanes: int, n: int = 0) -> list[list[int]]:
+    """Groups of blocks that tables join on, for `n` fingerprints."""
     if lanes == 1:
         quarters = [list(range(k, BLOCKS, 4)) for k in range(4)]
         return [a + b for a, b in combinations(quarters, 2)]
+    width = min(24, max(8, round(math.log2(max(1, n) / FILL) / 1.5)))  # a block tells one and a half bits
+    drawn = math.ceil(math.log(MISS) / math.log(1 - SAME_BLOCK**width))
     r = random.Random(SEED)
     return [sorted(r.sample(range(BLOCKS * lanes), width)) for _ in range(drawn)]
 
@@ -104,6 +112,8 @@ def cell_stars(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return [(1, 0)] if near else []
     if n > WINDOW and radius == 2 and lanes.shape[1] == 1:
         pairs = _between(lanes[:, 0])
+    elif n > MATRIX:
+        return _walk(lanes, radius)
     else:
         pairs = _windows(lanes, radius)
     parent = list(range(n))
@@ -143,6 +153,27 @@ def _windows(lanes: np.ndarray, radius: int):
             yield from zip(order[a[ok]].tolist(), order[b[ok]].tolist())
 
 
+def _walk(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """cell_stars by walking from neighbour to neighbour; whoever is reached is never compared again."""
+    zero, table = distances(lanes)
+    columns = table[:, :: max(1, table.shape[1] // 8)]
+    waiting, out = np.arange(len(lanes)), []
+    while len(waiting):
+        first, waiting = int(waiting[0]), waiting[1:]
+        reached = [first]
+        while reached and len(waiting):
+            x = reached.pop()
+            near = np.abs(zero[waiting] - zero[x]) <= radius
+            for k in range(columns.shape[1]):  # discard by coordinate
+                near[near] = np.abs(columns[waiting[near], k] - columns[x, k]) <= radius
+            near[near] = np.bitwise_count(lanes[waiting[near]] ^ lanes[x]).sum(1) <= radius
+            found = waiting[near].tolist()
+            waiting = waiting[~near]
+            reached += found
+            out += [(y, first) for y in found]
+    return out
+
+
 def _between(fp: np.ndarray):
     """Pairs that span the same components as all pairs within two bits: those that share a neighbour."""
     flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
@@ -168,7 +199,7 @@ def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
     """
     spark = prints.sparkSession
     small_batches(spark)
-    groups = tables(lanes)
+    groups = tables(lanes, 0 if lanes == 1 else prints.count())
     columns = [f"f{k}" for k in range(lanes)]
 
     def keys(batches):
@@ -259,8 +290,8 @@ def fingerprints_and_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: five-word shingles, estimated Jaccard similarity of 0.8 or more.
-PIPELINE = {"words": 5, "lanes": 4, "radius": 38}
+#: The pipeline's setting: five-word shingles, estimated cosine similarity of 0.8 or more (acos(0.8) / pi of 256 bits).
+PIPELINE = {"words": 5, "lanes": 4, "radius": 52}
 
 
 def survivors(docs: DataFrame) -> DataFrame:

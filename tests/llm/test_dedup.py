@@ -106,7 +106,7 @@ def test_simhash_links_every_cell_size():
         prints.add(x)
     fp = np.array(sorted(prints), dtype=np.uint64)
     want = groups([(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 2) if i < j], range(len(fp)))
-    for pairs in (simhash._windows(fp[:, None], 2), simhash._between(fp)):
+    for pairs in (simhash._windows(fp[:, None], 2), simhash._between(fp), simhash._walk(fp[:, None], 2)):
         assert groups(pairs, range(len(fp))) == want
 
 

@@ -15,21 +15,10 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), SEPARATOR, -1)
 
 
-def ngrams(words: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
-    """Array of (start, n, words) for each start and size that fits; size must be guarded by the caller's filter."""
-    least = min(sizes)
-    starts = F.sequence(F.lit(0), F.size(words) - least)
-    each = F.transform(
-        starts,
-        lambda i: F.filter(
-            F.transform(
-                F.array(*map(F.lit, sorted(sizes))),
-                lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("words")),
-            ),
-            lambda g: g["start"] + g["n"] <= F.size(words),
-        ),
-    )
-    return F.when(F.size(words) >= least, F.flatten(each))
+def longer_ngrams(shorter: Column, words: Column, n: int) -> Column:
+    """The n-grams of `words`, by start, from its (n-1)-grams."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(shorter, F.lit(1), count), F.slice(words, F.lit(n), count), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def hashtag_list(text: Column, none: str = "[]") -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NGRAM_SIZES, ngrams, tokens
+from ..functions.text import NGRAM_SIZES, longer_ngrams, tokens
 from .rows import not_blank, numbered
 
 #: Messages whose n-grams are numbered together.
@@ -25,8 +25,11 @@ def messages(df: DataFrame, number: bool = True) -> DataFrame:
 
 def occurrences(df: DataFrame, *keys: str, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
     """One row for each n-gram in each message: `keys`, start, n, words."""
-    words = df.select(*keys, tokens(F.col("message_text")).alias("tokens")).where(F.size("tokens") >= min(sizes))
-    return words.select(*keys, F.inline(ngrams(F.col("tokens"), sizes)))
+    grams = df.select(*keys, tokens(F.col("message_text")).alias("_1")).where(F.size("_1") >= min(sizes))
+    for n in range(2, max(sizes) + 1):  # each size grows from the one before
+        grams = grams.withColumn(f"_{n}", longer_ngrams(F.col(f"_{n - 1}"), F.col("_1"), n))
+    by_size = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("grams")) for n in sizes])
+    return grams.select(*keys, F.inline(by_size)).select(*keys, "n", F.posexplode("grams").alias("start", "words"))
 
 
 def message_counts(df: DataFrame, *keys: str, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:

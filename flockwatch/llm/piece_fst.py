@@ -32,7 +32,7 @@ from .common import map_texts
 MARK = "▁"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 #: Stretches and pairs of pieces whose result a task remembers.
-KEEP_PATHS, KEEP_PAIRS = 600_000, 1_000_000
+KEEP_PATHS, KEEP_PAIRS = 400_000, 600_000
 
 
 def _fields(raw: bytes):

@@ -2,14 +2,16 @@
 
 A rotation is learned so that the signs of rotated principal components are balanced and
 lose little (iterative quantisation); several rotations give codes of `ROTATIONS` times the
-dimension, at least `LEAST_BITS`. Each of `TABLES` tables keys vectors by its own subset of
-the code's bits, about as many as the logarithm of the number of vectors; vectors that
+dimension, at least `LEAST_BITS`. Each table keys vectors by its own subset of the code's
+bits, about as many as the logarithm of the number of vectors; vectors that
 share a key in some table are candidates, reranked with the original vectors by cosine in
 double precision. A pair is counted in the first table where it meets, so links are counted
 once without listing them.
 
-At cosine 0.95 a bit differs with chance 0.1 or less, so 24 tables of 16 bits miss under
-one pair in a hundred at the threshold and next to none above it.
+Wider keys agree less often, so the number of tables follows the width: pairs at cosine
+0.95 are made from a part of the sample that is not learned from, the bits in which their codes differ are counted, and so many
+tables are drawn, `TABLES` at least, that the share of these pairs that share no key is
+`MISS` or less, whatever the number of vectors. Pairs above the threshold are missed less.
 
 Scale: equal vectors are one row, with a weight, before anything is joined. Keys alone find
 the cells with two or more vectors; only those vectors move. Cells of more than `CELL` rows
@@ -35,6 +37,9 @@ from .components import components
 
 COSINE = 0.95
 TABLES, ROTATIONS, LEAST_BITS = 24, 2, 128
+MISS = 0.01
+#: Learned rotations that need more tables than this differ too little from each other (few dimensions); drawn ones are tried then.
+MANY_TABLES = 512
 SAMPLE = 8192
 CELL = 2048
 SEED = 7
@@ -52,6 +57,36 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = 40) -> np.ndarray:
     return axes @ r
 
 
+def tables_needed(unit: np.ndarray, rotation: np.ndarray, width: int) -> int:
+    """How many tables of `width` bits leave pairs at the threshold unmet with chance `MISS`.
+
+    The pairs are rows of `unit` turned to cosine `COSINE`: towards other rows, and anywhere.
+    """
+    r = np.random.default_rng(SEED)
+    a = unit[:4096]
+    bits, most = rotation.shape[1], 1
+    width = min(width, bits)
+    for b in (unit[r.permutation(len(a))], r.standard_normal(a.shape)):
+        b = b - (a * b).sum(1)[:, None] * a
+        long = np.linalg.norm(b, axis=1)
+        some = long > 1e-6
+        if not some.any():
+            continue
+        x, b = a[some], b[some] / long[some][:, None]
+        y = x * COSINE + b * math.sqrt(1 - COSINE**2)
+        differ = ((x @ rotation >= 0) != (y @ rotation >= 0)).sum(1)
+        left = bits - np.arange(width)
+        same = np.prod(np.clip(left - differ[:, None], 0, None) / left, axis=1)  # chance of the same key in a table
+        low, high = 0, 1
+        while np.mean((1 - same) ** high) > MISS and high < 1 << 20:
+            low, high = high, high * 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if np.mean((1 - same) ** middle) > MISS else (low, middle)
+        most = max(most, high)
+    return most
+
+
 class Quantiser:
     """Rotations of one vector length, and the bits that each table reads.
 
@@ -59,11 +94,22 @@ class Quantiser:
     together signs around their mean would be noise.
     """
 
-    def __init__(self, sample: np.ndarray, width: int, tables: int = TABLES):
+    def __init__(self, sample: np.ndarray, width: int, tables: int | None = None):
         d = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        # tables are counted on rows that no rotation has been fitted to: their bits differ more
+        held = np.random.default_rng(SEED).permutation(len(unit))[: len(unit) // 4] if len(unit) >= 64 else np.arange(0)
+        apart, unit = (unit[held], np.delete(unit, held, 0)) if len(held) else (unit, unit)
         turns = max(ROTATIONS, -(-LEAST_BITS // d))
         self.rotation = np.concatenate([learn_rotation(unit, SEED + k) for k in range(turns)], 1)
+        if tables is None:
+            tables = tables_needed(apart, self.rotation, width)
+            if tables > MANY_TABLES:
+                draw = np.random.default_rng(SEED)
+                drawn = np.concatenate([np.linalg.qr(draw.standard_normal((d, d)))[0] for _ in range(turns)], 1)
+                if (fewer := tables_needed(apart, drawn, width)) < tables:
+                    self.rotation, tables = drawn, fewer
+            tables = max(TABLES, tables)
         bits = self.rotation.shape[1]
         r = np.random.default_rng(SEED)
         self.weights = np.zeros((bits, tables))

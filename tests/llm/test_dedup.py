@@ -235,6 +235,20 @@ def test_embeddings_recall_at_the_threshold(spark):
     assert sum(row.n_links for row in got.collect()) >= 0.9 * 2 * n
 
 
+@pytest.mark.parametrize("width", [20, 22, 27, 30])
+def test_embeddings_recall_at_any_width(width):
+    r = np.random.default_rng(4)
+    unit = r.standard_normal((6000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    a, model = unit[4096:], embedding_dedup.Quantiser(unit[:4096], width)
+    b = r.standard_normal(a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    met = (model.keys(a) == model.keys(a * 0.95 + b * np.sqrt(1 - 0.95**2))).any(1)
+    print(width, model.weights.shape[1], met.mean())
+    assert met.mean() >= 0.98
+
+
 def test_large_cells_split(spark, monkeypatch):
     r = np.random.default_rng(3)
     one = r.standard_normal(16)

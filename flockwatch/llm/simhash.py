@@ -14,9 +14,10 @@ missed. Pairs in a cell whose distances to any pivot differ by more than the rad
 discarded, survivors are verified by their Hamming distance, and a cell passes on one star
 for each component in it, never all pairs.
 
-For wider fingerprints with a larger radius (the pipeline's: four lanes, five-word
-shingles, at most 52 of 256 bits, which is an estimated cosine similarity of 0.8 between
-shingle counts), tables join on drawn groups of blocks: as many blocks as keep a cell of
+The pipeline's near copies are documents whose sets of five-word shingles have a Jaccard
+similarity of `SIMILAR` or more. Fingerprints (four lanes, of the different shingles) only
+propose: 72 of 256 differing bits or fewer make candidates, components of candidates meet in
+one task each, and every link is verified there on the shingles themselves. For them, tables join on drawn groups of blocks: as many blocks as keep a cell of
 unlike texts at some `FILL` members whatever their number, and as many tables as leave a
 pair whose Jaccard similarity is 0.8 unmet with chance `MISS`.
 
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import math
 import random
+import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +46,9 @@ from .common import ROW_KEY, cut, map_texts, row_key, small_batches, take_rows
 from .components import components
 
 SEED = 42
+SIMILAR = (4, 5)  # Jaccard similarity of near copies in the pipeline, as a fraction
+#: Shingles of one group that a task holds in memory, and that it compares at once; beyond that they wait in a file.
+HELD_SHINGLES, AT_ONCE = 4_000_000, 1_000_000
 MATRIX, WINDOW = 512, 4096
 FILL, MISS = 50, 0.05
 #: Chance that a block of two bits has equally many set in both of a pair at Jaccard similarity 0.8 (15 % of bits differ).
@@ -76,7 +81,10 @@ def majority(h: np.ndarray) -> int:
 
 def fingerprint(raw: bytes, words: int = 3, lanes: int = 1) -> list[int]:
     """The lanes of a text's fingerprint as signed 64-bit numbers."""
-    h = shingle_hashes(raw, words)
+    return signed_lanes(shingle_hashes(raw, words), lanes)
+
+
+def signed_lanes(h: np.ndarray, lanes: int) -> list[int]:
     out = [majority(h)]
     for multiplier in MIX[: lanes - 1]:
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(multiplier)
@@ -290,13 +298,136 @@ def fingerprints_and_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: five-word shingles, estimated cosine similarity of 0.8 or more (acos(0.8) / pi of 256 bits).
-PIPELINE = {"words": 5, "lanes": 4, "radius": 52}
+class ShingleSets:
+    """Sorted shingle hashes of a group's members; many of them wait in a file without a name, which ends with its group."""
+
+    def __init__(self):
+        self.ends, self.held, self.file, self.mapped = [0], [], None, None
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.ends.append(self.ends[-1] + len(shingles))
+        self.held.append(shingles)
+        if self.ends[-1] > HELD_SHINGLES:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(np.concatenate(self.held).tobytes())
+            self.held.clear()
+
+    def finish(self) -> None:
+        if self.file:
+            self.file.write(np.concatenate([*self.held, np.zeros(1, np.uint64)]).tobytes())
+            self.file.flush()
+            self.mapped, self.held = np.memmap(self.file, np.uint64, "r"), []
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.held[k] if self.mapped is None else self.mapped[self.ends[k] : self.ends[k + 1]]
+
+
+def similar_stars(lanes: np.ndarray, sets: ShingleSets, radius: int) -> list[tuple[int, int]]:
+    """(member, root) that span the components of members within `radius` whose sets are similar by `SIMILAR`."""
+    top, bottom = SIMILAR
+    zero, size = np.bitwise_count(lanes).astype(np.int64).sum(1), np.diff(sets.ends)
+
+    def similar(x, others):
+        mine, ok = sets[x], np.zeros(len(others), dtype=bool)
+        ends = np.cumsum(size[others])
+        begin = 0
+        while begin < len(others):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+            part = others[begin:end]
+            tokens = np.concatenate([sets[y] for y in part])
+            at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
+            shared = np.add.reduceat((mine[at] == tokens).astype(np.int64), np.cumsum(size[part]) - size[part])
+            ok[begin:end] = (top + bottom) * shared >= top * (size[x] + size[part])
+            begin = end
+        return ok
+
+    waiting, out = np.arange(len(lanes)), []
+    while len(waiting):
+        first, waiting = int(waiting[0]), waiting[1:]
+        reached = [first]
+        while reached and len(waiting):
+            x = reached.pop()
+            if not size[x]:
+                continue
+            near = bottom * np.minimum(size[waiting], size[x]) >= top * np.maximum(size[waiting], size[x])
+            near &= np.abs(zero[waiting] - zero[x]) <= radius
+            near[near] = np.bitwise_count(lanes[waiting[near]] ^ lanes[x]).sum(1) <= radius
+            near[near] = similar(x, waiting[near])
+            found = waiting[near].tolist()
+            waiting = waiting[~near]
+            reached += found
+            out += [(y, first) for y in found]
+    return out
+
+
+def verified(groups: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Links (u, v) that span the components of similar documents. `groups`: root (of candidates), node, f0.. and its shingles."""
+    columns = [f"f{k}" for k in range(lanes)]
+
+    def compare(batches):
+        import pyarrow as pa
+
+        at, node, prints, sets = None, [], [], ShingleSets()
+
+        def links():
+            sets.finish()
+            found = similar_stars(np.array(prints, dtype=np.int64).view(np.uint64), sets, radius) if len(node) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([node[x] for x, _ in found], pa.int64()), pa.array([node[y] for _, y in found], pa.int64())], names=["u", "v"]
+            )
+
+        for batch in batches:
+            root, name = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            fp = np.stack([batch.column(k + 2).to_numpy() for k in range(lanes)], 1) if len(root) else None
+            shingles = batch.column(lanes + 2)
+            for k in range(len(root)):
+                if root[k] != at:
+                    if len(node) > 1:
+                        yield links()
+                    at, node, prints, sets = root[k], [], [], ShingleSets()
+                node.append(name[k])
+                prints.append(fp[k])
+                sets.add(shingles[k].values.to_numpy().view(np.uint64).copy())
+        if len(node) > 1:
+            yield links()
+
+    dealt = groups.select("root", "node", *columns, "shingles").repartition("root").sortWithinPartitions("root", "node")
+    return dealt.mapInArrow(compare, "u long, v long")
+
+
+#: The pipeline's setting: five-word shingles; candidates differ in 72 bits or fewer (similarity 0.8 gives some 39, 48 in the shortest texts).
+PIPELINE = {"words": 5, "lanes": 4, "radius": 72}
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, with one document of each group: the smallest doc_id, then key."""
+    words, lanes, radius = PIPELINE["words"], PIPELINE["lanes"], PIPELINE["radius"]
+    columns = [f"f{k}" for k in range(lanes)]
     named = docs.select("doc_id", "text", row_key().alias(ROW_KEY))
-    found = near_groups(named, ["doc_id", ROW_KEY], **PIPELINE)
+
+    def prints_of():
+        from xxhash import xxh64_intdigest
+
+        def work(texts):
+            out = []
+            for text in texts:
+                h = np.unique(shingle_hashes(text, words))
+                out.append([*signed_lanes(h, lanes), xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)])
+            return list(zip(*out))
+
+        return work
+
+    def shingles_of():
+        return lambda texts: [[np.unique(shingle_hashes(t, words)).view(np.int64).tolist() for t in texts]]
+
+    rows = map_texts(named, ["doc_id", ROW_KEY], ", ".join(f"{c} long" for c in [*columns, "same"]), prints_of)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW_KEY)).alias("first")
-    return take_rows(docs, found.groupBy("root").agg(first).select(f"first.{ROW_KEY}"))
+    # one row a different set of shingles: equal fingerprints alone don't make copies
+    prints = cut(rows.groupBy(*columns, "same").agg(first).withColumn("node", F.xxhash64(*columns, "same")))
+    candidates = cut(components(link(prints, lanes, radius)))
+    members = candidates.union(candidates.select("root", "root").distinct())
+    members = members.join(prints, "node").select("root", "node", *columns, f"first.{ROW_KEY}")
+    groups = map_texts(named.join(members, ROW_KEY), ["root", "node", *columns], "shingles array<long>", shingles_of)
+    roots = cut(components(verified(groups, lanes, radius)))
+    found = prints.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    return take_rows(docs, found.groupBy("root").agg(F.min("first").alias("first")).select(f"first.{ROW_KEY}"))

@@ -133,6 +133,56 @@ def test_near_copies_of_the_pipeline(docs, no_docs):
     assert simhash.fingerprints_and_components(no_docs).count() == 0
 
 
+def similar_texts(n, seed=8):
+    """Bases of 12 to 120 words with copies of every likeness, some through chains, and texts that only share a passage."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(60)]
+    out = []
+    for k in range(n):
+        base = [word() for _ in range(r.randint(12, 120))]
+        if k % 3 == 0:
+            base = shared + base[: r.randint(10, 60)]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 25))):
+                copy[r.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+    return out
+
+
+def brute_near(texts):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return set(groups(pairs, range(len(texts))).values()), pairs
+
+
+@pytest.mark.parametrize("held", [100, 4_000_000])
+def test_near_copies_are_verified_on_their_shingles(held, monkeypatch):
+    texts = similar_texts(60)
+    want, _ = brute_near(texts)
+    monkeypatch.setattr(simhash, "HELD_SHINGLES", held)
+    monkeypatch.setattr(simhash, "AT_ONCE", 300)
+    sets, lanes = simhash.ShingleSets(), []
+    for t in texts:
+        h = np.unique(simhash.shingle_hashes(t.encode(), 5))
+        sets.add(h)
+        lanes.append(simhash.signed_lanes(h, 4))
+    sets.finish()
+    stars = simhash.similar_stars(np.array(lanes).view(np.uint64), sets, simhash.PIPELINE["radius"])
+    assert set(groups(stars, range(len(texts))).values()) == want
+
+
+def test_texts_that_share_a_passage_stay(spark):
+    texts = similar_texts(60)
+    want, _ = brute_near(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert want <= {r.doc_id for r in simhash.survivors(df).collect()}
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components(spark, small):
     r = random.Random(5)

@@ -17,12 +17,14 @@ for each component in it, never all pairs.
 The pipeline's near copies are documents whose sets of five-word shingles have a Jaccard
 similarity of `SIMILAR` or more. Fingerprints (four lanes, of the different shingles) only
 propose: 72 of 256 differing bits or fewer make candidates, components of candidates meet in
-one task each, and every link is verified there on the shingles themselves. For them, tables join on drawn groups of blocks: as many blocks as keep a cell of
-unlike texts at some `FILL` members whatever their number, and as many tables as leave a
-pair whose Jaccard similarity is 0.8 unmet with chance `MISS`.
+one task each, and every link is verified there on the shingles themselves. Two sets of that
+similarity share one of their first shingles in any order common to all: of m shingles, the
+first m - ceil(0.8 m) + 1. Documents are joined on these, so every such pair meets, whatever
+the number of documents. The order puts shingles last that are common in a sample, so that
+passages which many documents have don't bring them together; it decides the cost only.
 
 Scale: equal fingerprints are one row before any search, so a group of copies costs
-nothing; each fingerprint gives one small row a table. Cells too large to compare by
+nothing; each fingerprint gives one small row a table, in the pipeline one for each fifth word. Cells too large to compare by
 windows (`WINDOW`) are linked exactly, for radius 2, through the fingerprints between
 (each and its 64 neighbours), in time linear in the cell, in passes of bounded memory.
 
@@ -33,8 +35,6 @@ own row and is never the smallest unless its group has no other.
 
 from __future__ import annotations
 
-import math
-import random
 import tempfile
 from itertools import combinations
 
@@ -50,9 +50,9 @@ SIMILAR = (4, 5)  # Jaccard similarity of near copies in the pipeline, as a frac
 #: Shingles of one group that a task holds in memory, and that it compares at once; beyond that they wait in a file.
 HELD_SHINGLES, AT_ONCE = 4_000_000, 1_000_000
 MATRIX, WINDOW = 512, 4096
-FILL, MISS = 50, 0.05
-#: Chance that a block of two bits has equally many set in both of a pair at Jaccard similarity 0.8 (15 % of bits differ).
-SAME_BLOCK = 0.75
+SMALL_CELL = 64
+#: Documents (and shingles of each) that tell which shingles are common, in how many of them, and how many shingles at most are held to be so.
+SAMPLE, SAMPLE_SHINGLES, SEEN, COMMON = 20_000, 2000, 3, 200_000
 BLOCKS = 32  # of two bits, a lane
 #: Multipliers that make further lanes of a shingle's hash.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -68,6 +68,14 @@ def shingle_hashes(raw: bytes, words: int) -> np.ndarray:
     return np.array([xxh64_intdigest(b" ".join(found), SEED)] if found else [], dtype=np.uint64)
 
 
+def arrow_lists(lists: list[np.ndarray]):
+    """Lists of hashes as an Arrow column of lists of signed numbers."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.uint64).view(np.int64)))
+
+
 def majority(h: np.ndarray) -> int:
     """The 64 majority bits of hashes, as an unsigned number."""
     if not len(h):
@@ -101,15 +109,39 @@ def distances(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return zero, np.concatenate(table, 1).astype(np.int16)
 
 
-def tables(lanes: int, n: int = 0) -> list[list[int]]:
-    """Groups of blocks that tables join on, for `n` fingerprints."""
-    if lanes == 1:
-        quarters = [list(range(k, BLOCKS, 4)) for k in range(4)]
-        return [a + b for a, b in combinations(quarters, 2)]
-    width = min(24, max(8, round(math.log2(max(1, n) / FILL) / 1.5)))  # a block tells one and a half bits
-    drawn = math.ceil(math.log(MISS) / math.log(1 - SAME_BLOCK**width))
-    r = random.Random(SEED)
-    return [sorted(r.sample(range(BLOCKS * lanes), width)) for _ in range(drawn)]
+def tables(lanes: int) -> list[list[int]]:
+    """Groups of blocks that tables join on, for fingerprints of one lane within two bits."""
+    if lanes != 1:
+        raise ValueError("wider fingerprints are joined on shingles")
+    quarters = [list(range(k, BLOCKS, 4)) for k in range(4)]
+    return [a + b for a, b in combinations(quarters, 2)]
+
+
+def first_shingles(h: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Of a sorted set: the shingles one of which any set similar by `SIMILAR` has among its own first ones.
+
+    `common` (sorted) come last, by how often they were `seen`; else hashes order.
+    """
+    top, bottom = SIMILAR
+    times = np.zeros(len(h), dtype=np.int64)
+    if len(common) and len(h):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        times = np.where(common[at] == h, seen[at], 0)
+    return h[np.lexsort((h, times))[: len(h) - -(-top * len(h) // bottom) + 1]]
+
+
+def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and how many have them."""
+    rate = min(1.0, SAMPLE / max(1, named.count()))
+    some = named.where(F.pmod(F.xxhash64(ROW_KEY), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+    def make():
+        return lambda texts: [arrow_lists([np.unique(shingle_hashes(t, words))[:SAMPLE_SHINGLES] for t in texts])]
+
+    one = map_texts(some, [], "shingles array<long>", make).select(F.explode("shingles").alias("s"))
+    most = one.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "s").limit(COMMON)
+    found = sorted((r.s % (1 << 64), r.n) for r in most.collect())
+    return np.array([s for s, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
 
 
 def cell_stars(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -118,7 +150,10 @@ def cell_stars(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     if n == 2:
         near = int(np.bitwise_count(lanes[0] ^ lanes[1]).sum()) <= radius
         return [(1, 0)] if near else []
-    if n > WINDOW and radius == 2 and lanes.shape[1] == 1:
+    if n <= SMALL_CELL:
+        near = np.bitwise_count(lanes[:, None] ^ lanes).sum(2, dtype=np.int16) <= radius
+        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))))
+    elif n > WINDOW and radius == 2 and lanes.shape[1] == 1:
         pairs = _between(lanes[:, 0])
     elif n > MATRIX:
         return _walk(lanes, radius)
@@ -203,11 +238,13 @@ def _between(fp: np.ndarray):
 def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Links (u, v) of node ids that span all components of near fingerprints.
 
-    `prints` has one row a different fingerprint: node, and f0.. for its lanes.
+    `prints` has one row a different fingerprint: node, and f0.. for its lanes; if there are
+    `tokens` (a list), only those that share one are compared, else all.
     """
     spark = prints.sparkSession
     small_batches(spark)
-    groups = tables(lanes, 0 if lanes == 1 else prints.count())
+    shared = ["tokens"] if "tokens" in prints.columns else []
+    groups = [] if shared else tables(lanes)
     columns = [f"f{k}" for k in range(lanes)]
 
     def keys(batches):
@@ -216,6 +253,13 @@ def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             node = batch.column(0)
+            if shared:
+                tokens = batch.column(lanes + 1)
+                owner = pa.array(np.repeat(np.arange(n), tokens.value_lengths().to_numpy()))
+                key = tokens.flatten()
+                rest = [c.take(owner) for c in batch.columns[: lanes + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), key, *rest], names=["t", "key", "node", *columns])
+                continue
             fp = np.stack([batch.column(k + 1).to_numpy() for k in range(lanes)], 1).view(np.uint64) if n else np.zeros((0, lanes), np.uint64)
             zero, table = distances(fp)
             coordinate = (table - zero[:, None] + 2) // 2  # 0, 1, 2: bits of the block that are clear
@@ -265,27 +309,23 @@ def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
             yield out
 
     schema = "t int, key long, node long, " + ", ".join(f"{c} long" for c in columns)
-    met = prints.select("node", *columns).mapInArrow(keys, schema)
+    met = prints.select("node", *columns, *shared).mapInArrow(keys, schema)
     return met.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(stars, "u long, v long")
 
 
-def near_groups(docs: DataFrame, keep: list[str], words: int = 3, lanes: int = 1, radius: int = 2) -> DataFrame:
-    """`keep`, the lanes f0.., root (names the component) and component_id: its smallest doc_id."""
-    columns = [f"f{k}" for k in range(lanes)]
+def near_groups(docs: DataFrame, keep: list[str], words: int = 3, radius: int = 2) -> DataFrame:
+    """`keep`, the fingerprint f0, root (names the component) and component_id: its smallest doc_id."""
+    columns = ["f0"]
 
     def make():
         def work(texts):
-            return list(zip(*[fingerprint(t, words, lanes) for t in texts]))
+            return list(zip(*[fingerprint(t, words) for t in texts]))
 
         return work
 
-    rows = cut(map_texts(docs, keep, ", ".join(f"{c} long" for c in columns), make))
-    if lanes == 1:
-        node = F.col("f0")
-    else:
-        node = F.xxhash64(*columns)  # names a fingerprint; equality is checked on the lanes
-    prints = cut(rows.groupBy(*columns).agg(F.min("doc_id").alias("low")).withColumn("node", node))
-    roots = cut(components(link(prints, lanes, radius)))
+    rows = cut(map_texts(docs, keep, "f0 long", make))
+    prints = cut(rows.groupBy(*columns).agg(F.min("doc_id").alias("low")).withColumn("node", F.col("f0")))
+    roots = cut(components(link(prints, 1, radius)))
     joined = prints.join(roots, "node", "left").select(*columns, "low", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = joined.join(least, "root").select(*columns, "root", "component_id")
@@ -404,26 +444,28 @@ def survivors(docs: DataFrame) -> DataFrame:
     words, lanes, radius = PIPELINE["words"], PIPELINE["lanes"], PIPELINE["radius"]
     columns = [f"f{k}" for k in range(lanes)]
     named = docs.select("doc_id", "text", row_key().alias(ROW_KEY))
+    common, seen = common_shingles(named, words)
 
     def prints_of():
         from xxhash import xxh64_intdigest
 
         def work(texts):
-            out = []
+            out, tokens = [], []
             for text in texts:
                 h = np.unique(shingle_hashes(text, words))
+                tokens.append(first_shingles(h, common, seen))
                 out.append([*signed_lanes(h, lanes), xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)])
-            return list(zip(*out))
+            return [*zip(*out), arrow_lists(tokens)]
 
         return work
 
     def shingles_of():
-        return lambda texts: [[np.unique(shingle_hashes(t, words)).view(np.int64).tolist() for t in texts]]
+        return lambda texts: [arrow_lists([np.unique(shingle_hashes(t, words)) for t in texts])]
 
-    rows = map_texts(named, ["doc_id", ROW_KEY], ", ".join(f"{c} long" for c in [*columns, "same"]), prints_of)
+    rows = map_texts(named, ["doc_id", ROW_KEY], ", ".join(f"{c} long" for c in [*columns, "same"]) + ", tokens array<long>", prints_of)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW_KEY)).alias("first")
     # one row a different set of shingles: equal fingerprints alone don't make copies
-    prints = cut(rows.groupBy(*columns, "same").agg(first).withColumn("node", F.xxhash64(*columns, "same")))
+    prints = cut(rows.groupBy(*columns, "same").agg(first, F.first("tokens").alias("tokens")).withColumn("node", F.xxhash64(*columns, "same")))
     candidates = cut(components(link(prints, lanes, radius)))
     members = candidates.union(candidates.select("root", "root").distinct())
     members = members.join(prints, "node").select("root", "node", *columns, f"first.{ROW_KEY}")

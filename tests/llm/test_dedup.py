@@ -183,6 +183,30 @@ def test_texts_that_share_a_passage_stay(spark):
     assert want <= {r.doc_id for r in simhash.survivors(df).collect()}
 
 
+@pytest.mark.parametrize("common", [0, 200])
+def test_every_pair_of_near_copies_meets(common):
+    texts = similar_texts(150, seed=9)
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    times = Counter(x for h in sets for x in h.tolist())
+    often = sorted(times.most_common(common))
+    known = np.array([x for x, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
+    first = [set(simhash.first_shingles(h, *known).tolist()) for h in sets]
+    lanes = np.array([simhash.signed_lanes(h, 4) for h in sets]).view(np.uint64)
+    _, pairs = brute_near(texts)
+    assert len(pairs) > 100 and all(first[i] & first[j] for i, j in pairs)
+    assert all(int(np.bitwise_count(lanes[i] ^ lanes[j]).sum()) <= simhash.PIPELINE["radius"] for i, j in pairs)
+    assert len(simhash.first_shingles(np.zeros(0, np.uint64), *known)) == 0
+
+
+@pytest.mark.parametrize("sample", [10, 20_000])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, sample):
+    texts = similar_texts(90, seed=8)
+    want, _ = brute_near(texts)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.survivors(df).collect()} == want
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components(spark, small):
     r = random.Random(5)

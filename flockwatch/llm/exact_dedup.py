@@ -2,9 +2,10 @@
 
 The index maps a 64-bit key of a text (the head of its SHA-256) to a bucket. A directory
 of `2**depth` entries names the bucket of each key prefix; buckets that hold more than
-`capacity` keys split, and the directory doubles when a split needs one more bit. Owner
-tasks take whole buckets, that is ranges of keys, chain the different texts that share a
-key and compare their bytes; keys that occur once need no chain.
+`capacity` keys split, and the directory doubles when a split needs one more bit. Buckets
+are names only: the different texts that share a key are chained and compared by their bytes
+in Spark's hash shuffle by key, which spreads keys as evenly as ranges of them would; keys
+that occur once need no chain.
 
 Scale: texts are hashed where they are read. The first shuffle moves (key, count) pairs
 combined before the shuffle, so a group of copies is one row a task. Texts move once,

@@ -50,7 +50,7 @@ TEMPLATES = (
     ("cc-by", "licensed under [a] [the] cc by 4 0 [international] [license]"),
     ("cc0", "licensed under [the] cc0 1 0 [universal]"),
     ("public-domain", "this work is [hereby] dedicated to the public domain"),
-    ("all-rights-reserved", "copyright {8} all rights reserved"),
+    ("all-rights-reserved", "copyright {40} all rights reserved"),
 )
 
 

@@ -51,6 +51,14 @@ def test_license_templates(text, labels):
     assert license_scan.scan_words(a, 3, [w.encode() for w in words_of(text)])[4] == labels
 
 
+def test_license_holders_may_be_many():
+    a = license_scan.Automaton(license_scan.BASE + license_scan.TEMPLATES)
+    labels = lambda text: license_scan.scan_words(a, 3, [w.encode() for w in words_of(text)])[4]
+    assert labels("Copyright (c) 1982, 1986, 1990, 1991, 1993 The Regents of the University of California. All rights reserved.") == "all-rights-reserved"
+    assert labels("copyright " + "some one and " * 13 + "all rights reserved") == "all-rights-reserved"
+    assert labels("copyright " + "some one and " * 14 + "all rights reserved") == ""
+
+
 def test_license_markup():
     a = license_scan.Automaton((("x", "a [b [c] d] e {2} f"),))
     for text, ok in (("a e f", 1), ("a b d e f", 1), ("a b c d e x f", 1), ("a e x y f", 1), ("a e x y z f", 0), ("a b e f", 0), ("a e", 0), ("z a e f", 0)):

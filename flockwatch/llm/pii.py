@@ -8,7 +8,7 @@ has a threshold that keeps held-out precision at `PRECISION` or more.
 
 Scale: no shuffle; the model is a few thousand numbers, trained once on the driver from a
 fixed seed. Every pattern is walked in one pass, so a text of any length costs time in
-proportion. Only texts that hold a digit or an at sign are looked at closely.
+proportion. Only texts that hold a digit, an at sign or two colons are looked at closely.
 
 Defined results: a null or empty text has no spans; the digest is then that of no bytes.
 Chosen spans that overlap a base span or an earlier chosen span of higher probability go.
@@ -17,6 +17,7 @@ Chosen spans that overlap a base span or an earlier chosen span of higher probab
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -37,7 +38,7 @@ _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _dotted = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _digits = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _plus = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_trigger = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+_trigger = re.compile(r"[0-9@]|::|[\[(] ?at ?[\])]")
 
 Span = tuple[str, int, int]
 
@@ -93,9 +94,11 @@ def base_spans(text: str) -> list[Span]:
 
 #: What proposes spans beside the base patterns.
 GENERATORS = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{2,40}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{2,20}){1,3}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,3}")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    ("phone", re.compile(r"(?<![0-9.+/-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]{1,2}[0-9]{2,5}[ .-][0-9]{2,5}(?:[ .-][0-9]{2,4})?(?![0-9./-])")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z_:])(?=[0-9A-Fa-f:]{0,35}::)(?=:*[0-9A-Fa-f])(?:[0-9A-Fa-f]{1,4})?(?::{1,2}[0-9A-Fa-f]{1,4}){0,7}+(?:::)?(?![0-9A-Za-z_:])")),
+    ("phone", re.compile(r"(?<![0-9.+/-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]{1,2}[0-9]{2,5}[ .-][0-9]{2,5}(?:[ .-][0-9]{2,4})?(?![0-9]|[./-][0-9])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z_.+/-])(?:[0-9]{10}|\([0-9]{2,5}\)[0-9]{5,8})(?![0-9A-Za-z_]|[./-][0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+")),
@@ -117,7 +120,15 @@ AGAINST = ("version", "isbn", "order", "part", "page", "date", "price", "serial"
 def proposals(text: str) -> list[Span]:
     if not _trigger.search(text):
         return []
-    return [(kind, m.start(), m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
+    found = {(kind, m.start(), m.end()): None for kind, pattern in GENERATORS for m in pattern.finditer(text)}
+    return [s for s in found if s[0] != "ip" or _address(text[s[1] : s[2]])]
+
+
+def _address(body: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(body))
+    except ValueError:
+        return False
 
 
 def _kind_of(c: str) -> int:
@@ -177,11 +188,15 @@ def examples(n: int = 6000, seed: int = SEED):
         check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
         return f"{country}{check if valid else (check + r.randint(1, 90)) % 97:02d}{rest}"
 
+    def short(groups):
+        left = r.randint(1, groups - 1)
+        return ":".join(hexes(r.randint(1, 4)) for _ in range(left)) + "::" + ":".join(hexes(r.randint(1, 4)) for _ in range(groups - left))
+
     def good(kind):
         return {
-            "email": lambda: f"{word()}{r.choice(' .')}(at){r.choice(' ').strip()}{word()}{r.choice(('.', ' (dot) '))}{r.choice(('com', 'org', 'net', 'de'))}".replace(" (at)", "(at)"),
-            "ip": lambda: ":".join(hexes(4) for _ in range(8)),
-            "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}")).format(number(3), number(3), number(4)),
+            "email": lambda: f"{r.choice((word(), word(), hexes(1, 'abcdef'), word() + '.' + words(8).replace(' ', '')[:46]))}{r.choice(' .')}(at){r.choice(' ').strip()}{word()}{r.choice(('.', ' (dot) '))}{r.choice(('com', 'org', 'net', 'de'))}".replace(" (at)", "(at)"),
+            "ip": lambda: r.choice((":".join(hexes(4) for _ in range(8)), r.choice(("2001:db8:", "fe80::", "2a02:")) + f"{hexes(4)}:{hexes(2)}", short(r.randint(3, 6)), "fe80::" + hexes(r.randint(1, 4)), "2001:" + hexes(3) + "::" + hexes(r.randint(1, 4)))),
+            "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}", "{}{}{}", "({}){}{}")).format(number(3), number(3), number(4)),
             "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}",
             "iban": lambda: iban(True),
             "secret": lambda: r.choice((hexes(r.choice((32, 40, 64))), hexes(r.randint(24, 48), alnum), "sk-" + hexes(32, alnum))),
@@ -190,14 +205,14 @@ def examples(n: int = 6000, seed: int = SEED):
     def bad(kind):
         return {
             "email": lambda: f"{word()} (at) {word()}. {word()}",
-            "ip": lambda: ":".join(number(2) for _ in range(8)),
-            "phone": lambda: r.choice((f"{number(2)}.{number(2)} {number(2)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)} {number(4)}", f"{number(4)} {number(2)} {number(2)}", f"{number(2)} {number(2)} {number(2)}")),
+            "ip": lambda: r.choice((":".join(number(2) for _ in range(8)), f"{hexes(1, 'abcdef')}::{hexes(1, 'abcdef')}", f"{hexes(3, 'abcdef')}::{hexes(4, 'abcdef')}", f"{number(2)}::{number(2)}")),
+            "phone": lambda: r.choice((number(10), f"1{number(9)}", f"{number(2)}.{number(2)} {number(2)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)} {number(4)}", f"{number(4)} {number(2)} {number(2)}", f"{number(2)} {number(2)} {number(2)}")),
             "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}",
             "iban": lambda: r.choice((iban(False), f"AB{number(2)} {number(4)} {number(4)}")),
             "secret": lambda: r.choice((f"{word()}_{word()}_{word()}_{number(2)}", f"{word()}-{word()}-{word()}-{number(4)}", number(16), f"{word()}{word()}{word()}{word()}{number(1)}{word()}")),
         }[kind]()
 
-    kinds = [kind for kind, _ in GENERATORS]
+    kinds = list(dict.fromkeys(kind for kind, _ in GENERATORS))
     while n:
         kind, positive = r.choice(kinds), r.random() < 0.5
         body = good(kind) if positive else bad(kind)

@@ -209,6 +209,25 @@ def test_pii_query(docs, no_docs):
     assert pii.find(no_docs).count() == 0
 
 
+def test_pii_proposes_usual_forms():
+    for kind, body in (
+        ("ip", "2001:db8::1"), ("ip", "fe80::1"), ("ip", "dead::beef"), ("ip", "::1"), ("ip", "2001:db8::"), ("ip", "2001:db8:0:0:1:2:3:4"),
+        ("email", "j (at) example (dot) org"), ("email", "x" * 60 + "[at]example.com"), ("email", "jane(at)x.com"), ("email", "bob(at)" + "y" * 50 + ".com"),
+        ("phone", "5551234567"), ("phone", "(555)1234567"), ("phone", "555-123-4567"),
+    ):
+        for text in (body, f"call or write {body}.", f"see {body}, thanks"):
+            at = text.index(body)
+            assert any(k == kind and b <= at and e >= at + len(body) for k, b, e in pii.proposals(text)), text
+    for text in ("std::cout a::b::zz foo::bar at 12:30", "1::2::3"):
+        assert not pii.proposals(text), text
+
+
+def test_pii_selects_usual_forms():
+    s = pii.Selector()
+    for text in ("the server address is 2001:db8::1 today", "host: fe80::1 answers", "call me, phone: 5551234567 today"):
+        assert {x[0] for x in s.chosen(text, pii.base_spans(text))} & {"ip", "phone"}, text
+
+
 def test_pii_model_selects():
     s = pii.Selector()
     found = lambda text: {x[0] for x in s.chosen(text, pii.base_spans(text))}

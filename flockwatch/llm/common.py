@@ -50,31 +50,88 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that long texts travel in, and see that executors can import us."""
+    """Bound the Arrow batches that long texts travel in, and see that executors can import us.
+
+    Plans read these settings when they run, which may be after the operator has returned, so
+    they stay; they are only ever lowered.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own if that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='flockwatch-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def _sweep() -> None:
-    for spark, path in _scratch:
+def sweep(keep: int = 0) -> None:
+    """Delete scratch tables but the first `keep` made; what is built on them must have been written by then."""
+    for spark, path in _scratch[keep:]:
         try:
             at, fs = _filesystem(spark, path)
             fs.delete(at, True)
         except Exception:  # the session may be gone by now
             return
+    del _scratch[keep:]
+
+
+def scratch_made() -> int:
+    """How many scratch tables there are: what `sweep` may keep."""
+    return len(_scratch)
+
+
+atexit.register(sweep)
+
+
+def tidy() -> None:
+    """Give back the memory of a task; its worker process goes on to serve others."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
-atexit.register(_sweep)
+def arrow_batch(schema: str, rows: list[tuple], *first):
+    """A record batch of rows of plain types; `first` are columns that are there already."""
+    import pyarrow as pa
+
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    own = fields[len(first) :]
+    values = list(zip(*rows, strict=True)) if rows else [()] * len(own)
+    columns = [*first, *(pa.array(v, type=types[kind]) for v, (_, kind) in zip(values, own, strict=True))]
+    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
+
+
+def join_by_size(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """`rows` left-joined with `facts`, one for each key, of which `size` says how many rows it has.
+
+    Facts with more than one in `share` of all those rows are at most `share` in number, so they are
+    broadcast; no key with more rows goes through the shuffle.
+    """
+    facts = cut(facts)
+    least = max(1, (facts.agg(F.sum(size)).first()[0] or 0) // share)
+    large, small = facts.where(F.col(size) > least).drop(size), facts.where(F.col(size) <= least).drop(size)
+    hot = rows.join(F.broadcast(large), keys)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys, "left")
+    return hot.unionByName(rest)
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:

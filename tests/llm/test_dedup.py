@@ -252,22 +252,67 @@ def test_suffix_dedup(docs, no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
-def test_suffix_segments_either_way(monkeypatch):
-    r = random.Random(7)
-    base = bytes(r.choice(b"ab cd") for _ in range(900))
-    anchor = base[430:462]
+def test_suffix_anchor_of_any_size(spark, docs, monkeypatch):
+    """With no room in a task, all anchors are compared by sorts across tasks; the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "ONE_TASK", 0)
+    test_suffix_dedup(docs, spark.createDataFrame([], docs.schema))
+
+
+@pytest.mark.parametrize("length", [400, 120, 41, 11])
+def test_suffix_across_tasks(spark, length):
+    r = random.Random(length)
+    base = bytes(r.choice(b"ab cd") for _ in range(3 * length))
     found = []
-    for _ in range(40):
-        a, b = r.randint(0, 30), r.randint(500, 600)
-        found.append((1, bytes(r.choice(b"xyz") for _ in range(r.randint(0, 9))) + base[a : b + r.randint(0, 250)]))
-    assert all(anchor in s for _, s in found)
-    monkeypatch.setattr(suffix_dedup, "_anchor_place", lambda body, length: body.index(anchor))
-    whole = suffix_dedup.compare_segments(found)
-    count = Counter(s[i : i + 400] for _, s in found for i in range(len(s) - 399))
-    for (_, s), runs in zip(found, whole):
-        assert [i for i in range(len(s) - 399) if count[s[i : i + 400]] > 1] == [i for a, b in runs for i in range(a, b + 1)]
-    monkeypatch.setattr(suffix_dedup, "BYTES", 10)
-    assert suffix_dedup.compare_segments(found) == whole
+    for k in range(30):
+        a = r.randint(0, length)
+        body = bytes(r.choice(b"xyz") for _ in range(r.randint(0, 9))) + base[a : a + r.randint(length, 2 * length)]
+        found.append((k, -k, r.randint(0, 5), 0, body))
+    got = suffix_dedup.across_tasks(spark.createDataFrame(found, "k1 long, k2 long, low int, whole int, body binary"), length).collect()
+    count = Counter(x[4][i : i + length] for x in found for i in range(len(x[4]) - length + 1))
+    want = {(x[0], x[2] + i) for x in found for i in range(len(x[4]) - length + 1) if count[x[4][i : i + length]] > 1}
+    assert {(g.k1, g.low) for g in got} == want and all(g.high - g.low == length for g in got)
+    runs = suffix_dedup.compare_segments([x[4] for x in found], length)
+    assert {(x[0], x[2] + i) for x, own in zip(found, runs) for a, b in own for i in range(a, b + 1)} == want
+
+
+def test_suffix_sift_in_small_batches():
+    """However rows are cut into batches, the same ranges and wants come out."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    data = []
+    for anchor in range(40):
+        for _ in range(r.choice([1, 1, 2, 30])):
+            s = r.randint(0, 4)
+            row = (anchor, s, s, *[r.randint(0, 30)] * 2, r.randint(0, 2) * 100 + s, r.randint(0, 2) * 100 + 50)
+            data += [(*row, suffix_dedup.SEGMENT)] * r.choice([1, 1, 3])
+    data.sort()
+
+    def out(step, monkey):
+        batches = [suffix_dedup.arrow_batch(suffix_dedup._ROW, data[k : k + step]) for k in range(0, len(data), step)]
+        got = [tuple(x.values()) for b in suffix_dedup._sift(10)(batches) for x in b.to_pylist()]
+        return {(*g[:5], g[6]) for g in got}
+
+    source = pa.Table.from_batches([suffix_dedup.arrow_batch(suffix_dedup._ROW, data)])
+    assert source.num_rows == len(data)
+    by = {}
+    for row in set(data):
+        by.setdefault(row[0], {}).setdefault(row[1], set()).add(row)
+    wants = {a: len(g) for a, g in by.items() if len(g) > 1}
+    ranges = {(x[0], x[3], x[5]) for g in by.values() for rows_ in g.values() if len({(x[3], x[5]) for x in rows_}) > 1 for x in rows_}
+    got = out(len(data), None)
+    assert {(g[0], g[1], g[3]) for g in got if not g[5]} == ranges
+    assert Counter(g[0] for g in got if g[5]) == wants
+
+
+def test_suffix_long_text_in_stretches(monkeypatch):
+    r = random.Random(9)
+    text = bytes(r.choice(b"abcdefgh ") for _ in range(5000))
+    first, last, _ = suffix_dedup.anchors(text)
+    assert first[0] == 0 and last[-1] == len(text) - 400 and (first[1:] == last[:-1] + 1).all()
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    first, last, _ = suffix_dedup.anchors(text)
+    assert first[0] == 0 and last[-1] == len(text) - 400 and (first[1:] == last[:-1] + 1).all()
 
 
 # embeddings

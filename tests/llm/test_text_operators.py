@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -153,13 +154,98 @@ def test_pieces_are_the_models(codec):
             assert codec.decode(codec.encode(text)) == text
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _message(*fields):
+    """A protocol-buffer message of (number, bytes or number)."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += _varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += _varint(number << 3) + _varint(value)
+        else:
+            out += _varint(number << 3 | 2) + _varint(len(value)) + value
+    return out
+
+
+def made_up_model(kind, pieces, trim=0):
+    """A model of given pieces and scores, with all bytes."""
+    own = [(b"<unk>", 0.0, 2)] + [(f"<0x{b:02X}>".encode(), 0.0, 6) for b in range(256)] + [(t.encode(), s, 1) for t, s in pieces]
+    rows = [(1, _message((1, t), (2, float(s)), (3, k))) for t, s, k in own]
+    return _message(*rows, (2, _message((3, kind), (35, 1))), (3, _message((1, b"identity"), (3, 1), (4, trim))))
+
+
+def every_path(codec, text):
+    """All (weight, ids) from first to last, by recursion."""
+    if not text:
+        yield 0.0, ()
+        return
+    for end, _, weight, emitted in codec.arcs(text, 0):
+        for more, rest in every_path(codec, text[end:]):
+            yield weight + more, emitted + rest
+
+
+def test_least_path_of_all_paths():
+    r = random.Random(4)
+    for _ in range(30):
+        pieces = {c: -r.uniform(1, 9) for c in "▁ab"} | {"".join(r.choice("abc") for _ in range(r.randint(2, 4))): -r.uniform(1, 9) for _ in range(8)}
+        codec = piece_fst.Codec(made_up_model(piece_fst.UNIGRAM, list(pieces.items())))
+        for _ in range(10):
+            text = "".join(r.choice("abcé ") for _ in range(r.randint(0, 7)))
+            normal = codec.normal(text.encode()).decode()
+            weight, ids = min(every_path(codec, normal))
+            got = tuple(codec.encode(text))
+            assert abs(min(w for w, p in every_path(codec, normal) if p == got) - weight) < 1e-9, (text, got, ids)
+            assert codec.decode(got) == text
+
+
+def merged(codec, text):
+    """Pieces by merging the neighbours of best rank until none is left."""
+    parts = list(text)
+    while True:
+        ranks = [codec.rank.get(a + b, 1e30) for a, b in zip(parts, parts[1:])]
+        if not ranks or min(ranks) == 1e30:
+            return [i for p in parts for i in ([codec.ids[p]] if p in codec.ids else [codec.bytes[b] for b in p.encode()])]
+        at = ranks.index(min(ranks))
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_ranked_pieces_are_what_merging_gives():
+    r = random.Random(5)
+    for _ in range(40):
+        pieces, known = {c: -100.0 - k for k, c in enumerate("▁ab")}, list("▁ab")
+        for k in range(10):  # each new piece joins two known ones
+            new = r.choice(known) + r.choice([x for x in known if "▁" not in x])
+            if new not in pieces:
+                pieces[new] = -float(k)
+                known.append(new)
+        codec = piece_fst.Codec(made_up_model(piece_fst.RANKED, list(pieces.items())))
+        for _ in range(10):
+            text = "".join(r.choice("aabbc ") for _ in range(r.randint(0, 12)))
+            assert codec.encode(text) == merged(codec, codec.normal(text.encode()).decode()), text
+
+
+def test_trimming_normaliser_and_odd_bytes():
+    codec = piece_fst.Codec(made_up_model(piece_fst.UNIGRAM, [("▁", -1.0), ("a", -2.0), ("▁a", -2.5)], trim=1))
+    _, n, same = codec.encode_all([b"a a", b"  a  a ", b"", b"   ", b"\xff"])
+    assert n.tolist()[:4] == [2, 2, 0, 0] and same.tolist()[:4] == [True, False, True, False]
+    with pytest.raises(ValueError):
+        piece_fst.Codec(made_up_model(3, [("a", -1.0)]))
+
+
 def test_piece_query(docs, no_docs, codec):
     got = {r.doc_id: r for r in piece_fst.encoded(docs, ["doc_id"], piece_fst.model_bytes()).collect()}
     for row in rows():
         r, ids = got[row[0]], codec.encode(row[1] or "")
         assert r.ids == ids and r.n_pieces == len(ids) and r.roundtrip
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
-        assert r.n_fallback == sum(x in codec.fallback for x in ids)
+        assert r.n_fallback == sum(codec.fallback[x] for x in ids)
     assert piece_fst.encoded(no_docs, ["doc_id"], piece_fst.model_bytes()).count() == 0
 
 

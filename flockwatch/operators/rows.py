@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """`df` with each row's place in file order, from 1.
 
-    Places come from the row's partition and its place there; the partitions' sizes (one
-    number each) are counted first, so no row moves.
+    Rows read from Parquet files are ordered by file name and place in the file, however Spark
+    packs files into tasks; the files' row counts (one number each) are summed first. Other
+    rows are ordered by partition and place there. No row moves.
     """
-    mark, part = "_row_mark", "_row_part"
-    marked = df.withColumn(mark, F.monotonically_increasing_id()).withColumn(part, F.shiftrightunsigned(F.col(mark), 33))
-    sizes = {r[0]: r[1] for r in marked.groupBy(part).agg(F.count(F.lit(1))).collect()}
-    offsets, total = [], 0
-    for p in sorted(sizes):
-        offsets.append((p, total))
-        total += sizes[p]
-    base = df.sparkSession.createDataFrame(offsets, f"{part} long, _row_base long")  # as many rows as partitions
-    place = F.col("_row_base") + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return marked.join(F.broadcast(base), part).withColumn(name, place.cast("long")).drop(mark, part, "_row_base")
+    part, mark = "_row_part", "_row_mark"
+    try:
+        marked = df.select("*", F.col("_metadata.file_path").alias(part), F.col("_metadata.row_index").alias(mark))
+        marked.schema
+    except AnalysisException:  # not read from Parquet files
+        id_ = F.monotonically_increasing_id()
+        marked = df.select("*", F.shiftrightunsigned(id_, 33).alias(part), id_.bitwiseAND(F.lit((1 << 33) - 1)).alias(mark))
+    sizes = marked.groupBy(part).agg(F.count(F.lit(1)).alias("_row_count"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a file or partition
+    base = sizes.select(part, F.coalesce(F.sum("_row_count").over(earlier), F.lit(0)).alias("_row_base"))
+    place = F.col("_row_base") + F.col(mark) + 1
+    return marked.join(base, part).withColumn(name, place.cast("long")).drop(mark, part, "_row_base")
 
 
 def preprocess(df: DataFrame, mapping: dict[str, str], convert: dict[str, Column] | None = None) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SNIFF = 65_536
@@ -27,15 +30,29 @@ class Dialect:
         return replace(self, **changes)
 
 
+def _head(spark: SparkSession, path: str) -> str:
+    """The first `SNIFF` characters of the file (of the first one, if the path names several)."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(str(f.getPath()) for f in (fs.globStatus(at) or []))
+    if not found:
+        raise FileNotFoundError(path)
+    at = jvm.org.apache.hadoop.fs.Path(found[0])
+    if fs.getFileStatus(at).isDirectory():
+        inner = sorted(str(f.getPath()) for f in fs.listStatus(at) if not f.getPath().getName().startswith(("_", ".")))
+        at = jvm.org.apache.hadoop.fs.Path(inner[0])
+    stream = fs.open(at)
+    try:
+        raw = bytes(stream.readNBytes(4 * SNIFF))  # no character takes more than four bytes
+    finally:
+        stream.close()
+    return raw.decode("utf-8", "ignore")[:SNIFF]
+
+
 def sniff(spark: SparkSession, path: str) -> Dialect:
     """Separator and quote from the head of the file, read where Spark can read it; a header is assumed."""
-    lines, size = [], 0
-    for row in spark.read.text(path).limit(1000).toLocalIterator():
-        lines.append(row[0])
-        size += len(row[0]) + 1
-        if size >= SNIFF:
-            break
-    found = csv.Sniffer().sniff("\n".join(lines)[:SNIFF])
+    found = csv.Sniffer().sniff(_head(spark, path))
     return Dialect(found.delimiter, found.quotechar or '"')
 
 
@@ -50,9 +67,18 @@ class DelimitedFile:
     def describe(self) -> dict[str, str]:
         return {"separator": self.dialect.separator, "quote": self.dialect.quote, "header": str(self.dialect.header)}
 
-    def _reader(self):
+    @cached_property
+    def spans_lines(self) -> bool:
+        """Whether some line has an odd number of quotes, as lines have that begin or end a field of several lines.
+
+        Files without such lines are read in splits, others one task a file.
+        """
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(self.dialect.quote), F.lit("")))
+        return not self.spark.read.text(self.path).where(quotes % 2 == 1).isEmpty()
+
+    def _reader(self, split: bool = False):
         d = self.dialect
-        return self.spark.read.options(sep=d.separator, quote=d.quote, escape=d.quote, header=d.header, multiLine=True, mode="PERMISSIVE", encoding="UTF-8")
+        return self.spark.read.options(sep=d.separator, quote=d.quote, escape=d.quote, header=d.header, multiLine=not split, mode="PERMISSIVE", encoding="UTF-8")
 
     def schema(self) -> T.StructType:
         """Names, and types that hold for the first rows: whole numbers, numbers, true and false, else text."""
@@ -65,10 +91,10 @@ class DelimitedFile:
 
     def read(self) -> DataFrame:
         """All rows. Fields beyond the schema are dropped, missing ones and those that don't parse are null."""
-        return self._reader().schema(self.schema()).csv(self.path)
+        return self._reader(split=not self.spans_lines).schema(self.schema()).csv(self.path)
 
     def preview(self, n: int) -> DataFrame:
-        return self.read().limit(n)
+        return self._reader().schema(self.schema()).csv(self.path).limit(n)
 
     def to_parquet(self, path: str) -> None:
         self.read().write.mode("overwrite").parquet(path)
@@ -86,12 +112,12 @@ def _is_long(v: str) -> bool:
     return body.isdigit() and body.isascii() and abs(int(v)) < 1 << 63
 
 
+#: What the reader takes for a number with a fraction; others would turn null.
+_double = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Inf(inity)?")
+
+
 def _is_double(v: str) -> bool:
-    try:
-        float(v)
-    except ValueError:
-        return False
-    return "_" not in v
+    return _double.fullmatch(v) is not None
 
 
 def open_file(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DelimitedFile:

@@ -9,7 +9,7 @@ from flockwatch.functions.text import shortened, slug
 from flockwatch.operators import semantics
 from flockwatch.plans.analyses import REGISTRY, Analysis, CycleError, Registry, UnmappedInputs, bind, run
 from flockwatch.plans.store import Store, VersionError, export_name, write_file
-from flockwatch.sources import delimited
+from flockwatch.sources import delimited, importers
 
 
 @pytest.mark.parametrize(
@@ -26,6 +26,15 @@ def test_automap_golden():
     assert got == {"user_id": "username", "message_id": "text", "message_text": "text"}
 
 
+def test_automap_orders_by_score_then_place():
+    one = lambda columns, expected, *hints: semantics.automap(columns, [("x", expected, list(hints))]).get("x")
+    assert one({"a": "text", "b": "url", "c": "identifier"}, "identifier") == "c"
+    assert one({"a": "text", "b": "url"}, "identifier", "A") == "a"
+    assert one({"p": "url", "q": "datetime"}, "identifier") == "p"
+    assert one({"screen_user_name": "integer", "z": "identifier"}, "identifier", "user name") == "screen_user_name"
+    assert one({"a": "text"}, "datetime", "a") is None and semantics.automap({}, [("x", "text", [])]) == {}
+
+
 def kinds(spark, values, type_="string"):
     return semantics.infer(spark.createDataFrame([(v,) for v in values], f"c {type_}")).get("c")
 
@@ -44,6 +53,7 @@ def test_inference(spark):
     assert kinds(spark, ["some words here"]).name == "free_text"
     assert kinds(spark, [datetime(2024, 1, 1)], "timestamp_ntz").data_type == "datetime"
     assert kinds(spark, []) is None
+    assert kinds(spark, [f"user{k}\t" for k in range(50)]).name == "identifier" and kinds(spark, ["\r\nhttps://a.b\u3000"]).name == "url"
     urls = ["http://a.b"] * 80 + ["not one"] * 20
     assert kinds(spark, urls).name != "url" and kinds(spark, urls[:-1] + ["http://a.b"]).name == "url"
 
@@ -83,7 +93,10 @@ def test_run_end_to_end(spark, tmp_path):
     made = store.export("my_data", "ngrams", "ngram_stats", "csv", labels, "ngram_stats")
     assert made.endswith("/exports/ngram_stats.csv")
     rows = list(csv.reader(open(made)))
-    assert "Total Repetitions" in rows[0] and len(rows) == 2
+    assert rows[0] == stats.columns and len(rows) == 2
+    labels = REGISTRY.secondary("ngrams", "ngram_stats").outputs[1].labels
+    full = list(csv.reader(open(store.export("my_data", "ngrams", "ngram_full", "csv", labels, "ngram_stats"))))
+    assert ",".join(full[0]) == "ngram ID,ngram length,ngram content,ngram frequency,distinct user count,unique username,frequency by user,UPN,post identifier,post content,timestamp"
     assert REGISTRY.presenter("ngrams", "ngram_repetition_by_poster").chart(stats).first().asDict() == {"x": 2, "y": 2, "hover": "one two three"}
     times = run(REGISTRY, store.input("my_data"), "temporal")
     assert times["temporal"]["interval_count"].first()["count"] == 2
@@ -133,6 +146,42 @@ def test_delimited_golden(spark, tmp_path):
     assert delimited.with_one_timestamp(spark, str(one))[1] == "t"
 
 
+def test_fields_of_several_lines(spark, tmp_path):
+    plain, spanning = tmp_path / "p.csv", tmp_path / "s.csv"
+    plain.write_text('a,b\n1,"x, ""y"""\n2,z\n')
+    spanning.write_text('a,b\n1,"x\ny"\n2,z\n')
+    p, s = (delimited.open_file(spark, str(f), delimited.Dialect()) for f in (plain, spanning))
+    assert not p.spans_lines and s.spans_lines
+    assert [tuple(r) for r in p.read().collect()] == [(1, 'x, "y"'), (2, "z")] and [tuple(r) for r in s.read().collect()] == [(1, "x\ny"), (2, "z")]
+
+
+def test_numbers_with_fractions(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("a,b\n1.5,nan\nNaN,inf\n-2e3,x\n")
+    f = delimited.open_file(spark, str(path), delimited.Dialect())
+    assert [t.dataType.simpleString() for t in f.schema()] == ["double", "string"]
+    assert [r.b for r in f.read().collect()] == ["nan", "inf", "x"]
+
+
+def test_sniff_reads_characters_not_lines(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a;b\n" + "1;2\n" * 5000)
+    assert delimited.sniff(spark, str(path)).separator == ";"
+    with pytest.raises(FileNotFoundError):
+        delimited.sniff(spark, str(tmp_path / "none.csv"))
+
+
+def test_importers(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("a|b\n1|2\n3|4\n")
+    importer = importers.importer_for(str(path))
+    assert importer.name == "CSV" and importers.importer_for("a.txt") is None
+    assert importer.open(spark, str(path)).preview(1).count() == 1
+    assert importer.configured(spark, str(path), separator="|", header=False).read().count() == 3
+    path.write_text("")
+    assert importer.open(spark, str(path)) is None
+
+
 def test_names():
     assert slug("My Data!") == "my_data" and shortened(None) == "(N/A)" and shortened("x" * 30) == "x" * 20 + "..." and shortened(5) == "5"
 

@@ -139,6 +139,29 @@ def test_rows(spark):
     assert renamed(df, {"id": "The Id"}).columns == ["The Id"]
 
 
+def test_numbers_follow_files(spark, tmp_path):
+    """A small file before a large one: tasks take the large one first, numbers don't."""
+    spark.range(0, 10).coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(10, 50_000).coalesce(1).write.parquet(str(tmp_path / "b"))
+    (tmp_path / "all").mkdir()
+    for k, d in enumerate("ab"):
+        next((tmp_path / d).glob("part-*.parquet")).rename(tmp_path / "all" / f"part-{k}.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = numbered(spark.read.parquet(str(tmp_path / "all")).select("id"), "place")
+        assert got.where("place != id + 1").count() == 0 and got.count() == 50_000 and got.columns == ["id", "place"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_busy_windows_in_blocks(spark, monkeypatch):
+    rows = [(f"u{k}", D(2024, 1, 1, 10, k % 20)) for k in range(30)]
+    want = {tuple(r) for r in coordination.cooccurrence(posts(spark, rows)).collect()}
+    monkeypatch.setattr(coordination, "BLOCK", 3)
+    assert {tuple(r) for r in coordination.cooccurrence(posts(spark, rows)).collect()} == want
+
+
 def test_plans_stay_in_the_jvm(spark):
     from flockwatch.plans import catalog
 

@@ -134,6 +134,13 @@ def join_by_size(rows: DataFrame, facts: DataFrame, keys: list[str], size: str,
     return hot.unionByName(rest)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the other scratch tables."""
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
@@ -141,8 +148,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     before, and every reader sees the same rows. Scratch tables go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    path = scratch_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -199,15 +205,28 @@ def row_key(text_sha: Column | None = None) -> Column:
     return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), sha).cast("binary"), 256)
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """`wanted`, with as many underscores before it as make it none of `taken`, whatever the case."""
+    lowered = {c.lower() for c in taken}
+    while wanted.lower() in lowered:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def take_rows(docs: DataFrame, keys: DataFrame, times: str | None = None) -> DataFrame:
     """The rows of `docs` whose key is in `keys` (its only column but `times`), once each, or as often as `times` says.
 
-    Join and numbering share one exchange on the key, which no two different rows have in common.
+    Join and numbering share one exchange on the key, which no two different texts or ids have
+    in common. Of rows that agree in doc_id and text but not in all columns, the first by its
+    other columns as JSON is taken, so reruns agree. Columns of any name pass through.
     """
-    named = docs.withColumn(ROW_KEY, row_key())
-    met = named.join(keys, ROW_KEY, "left_semi" if times is None else "inner")
-    first = Window.partitionBy(ROW_KEY).orderBy(ROW_KEY)
-    rows = met.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    key, nth, often = (free_name(n, docs.columns) for n in (ROW_KEY, "_nth", "_times"))
+    named = docs.withColumn(key, row_key())
+    keys = keys.select(F.col(ROW_KEY).alias(key), *([F.col(times).alias(often)] if times else []))
+    met = named.join(keys, key, "left_semi" if times is None else "inner")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy(key).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    rows = met.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
     if times is not None:
-        rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+        rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(often).cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,17 +2,18 @@
 
 The index maps a 64-bit key of a text (the head of its SHA-256) to a bucket. A directory
 of `2**depth` entries names the bucket of each key prefix; buckets that hold more than
-`capacity` keys split, and the directory doubles when a split needs one more bit. Buckets
-are names only: the different texts that share a key are chained and compared by their bytes
-in Spark's hash shuffle by key, which spreads keys as evenly as ranges of them would; keys
-that occur once need no chain.
-
-Scale: texts are hashed where they are read. The first shuffle moves (key, count) pairs
-combined before the shuffle, so a group of copies is one row a task. Texts move once,
-grouped by key and bytes with a map-side combine: a group that holds a third of all rows
-sends one text a task. (A semi-join with the repeated keys first would move as much unless
-those keys could be broadcast, and nothing bounds them.) The directory is the only thing
-collected; it is cut from a histogram of at most `2**max_depth` prefixes.
+`capacity` keys split, and the directory doubles when a split needs one more bit. Texts
+are dealt to buckets by the directory. Each owner task takes a range of buckets, hence of
+keys: it walks its texts in the order of keys, chains the different texts of a key, tells
+them apart by their bytes, and writes the chains as the files of its buckets. Rows find
+their group in the index that is read back from these files.
+
+Scale: keys are counted first, combined before the shuffle, and are all that the directory
+is cut from; it is the only thing collected and has `SLOTS` entries at most, as the capacity
+grows with the table beyond that. Texts move once; equal ones that a task meets within `HELD`
+bytes travel as one, so a group that holds a third of all rows sends one text for each such
+stretch, and its owner holds one text of it. Groups with more than a thousandth of all grouped rows,
+of which there are fewer than a thousand, are broadcast to their rows.
 
 Defined results: a null text counts as empty; a null doc_id is below any other and stays
 only if its group has no other; rows that repeat a doc_id and a text are one group, and
@@ -22,15 +23,16 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, cut, row_key, take_rows, text_of
+from .common import ROW_KEY, arrow_batch, cut, join_by_size, row_key, scratch_path, small_batches, take_rows, text_of, tidy, utf8
 
-CAPACITY = 50_000
-MAX_DEPTH = 14
+#: Keys of a bucket, entries of the directory, and bytes of texts that a task combines at a time.
+CAPACITY, SLOTS, HELD = 2000, 1 << 16, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -82,47 +84,114 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def build_index(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, Directory]:
-    """Keys that occur more than once, by bucket, written to the shared folder; and the directory."""
-    keys = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    cells = keys.groupBy(_prefix("key", max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    directory = grow_directory({r.cell: r.n for r in cells.collect()}, max_depth, capacity)
-    slots = F.array(*map(F.lit, directory.slots)) if len(directory.slots) <= 64 else F.lit(list(directory.slots))
-    bucket = F.element_at(slots, (_prefix("key", directory.depth) + 1).cast("int"))
-    return keys.where("n > 1").select(bucket.alias("bucket"), "key"), directory
-
-
-def chains(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Each different text of a repeated key: its place in the key's chain, its survivor and its size.
-
-    Grouping by the text itself is the comparison of bytes.
-    """
-    texts = docs.select("doc_id", text_of().alias("body")).withColumn(
-        "key", F.conv(F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, 16), 16, -10).cast("long")
-    )
-    same = (
-        texts.groupBy("key", "body")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    chain = Window.partitionBy("key").orderBy("text_sha256", F.desc_nulls_last("keep_id"))
-    return same.join(index, "key").withColumn("link", F.row_number().over(chain))
+def build_directory(entries: DataFrame, capacity: int = CAPACITY, slots: int = SLOTS) -> Directory:
+    """The directory of all keys of `entries`; the histogram it is cut from has `slots` cells at most."""
+    keys = entries.select("key").distinct()
+    bits = slots.bit_length() - 1
+    cells = keys.groupBy(_prefix("key", bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    histogram = {r.cell: r.n for r in cells.collect()}
+    # half the slots may be used up by buckets; deeper ones could only come from uneven keys
+    return grow_directory(histogram, bits, max(capacity, -(-2 * sum(histogram.values()) // slots)))
+
+
+def _combined(directory: Directory, owners: int, schema: str):
+    """(doc_id, text) to one row for each different text in a stretch: owner, bucket, key, bytes, largest doc_id, count."""
+    import numpy as np
+
+    slots, shift = np.array(directory.slots), 64 - directory.depth
+
+    def combine(batches):
+        met: dict[bytes, list] = {}
+        size = 0
+
+        def flush():
+            out = []
+            for text, (low, n) in met.items():
+                key = int.from_bytes(hashlib.sha256(text).digest()[:8], "big")
+                bucket = int(slots[key >> shift])
+                out.append((bucket * owners // directory.buckets, bucket, key - (1 << 64) * (key >> 63), text, low, n))
+            return arrow_batch(schema, out)
+
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known = met.get(text)
+                if known is None:
+                    met[text] = [id_, 1]
+                    size += len(text) + 100
+                else:
+                    known[0] = id_ if known[0] is None else known[0] if id_ is None else max(known[0], id_)
+                    known[1] += 1
+            if size >= HELD:
+                yield flush()
+                met, size = {}, 0
+        if met:
+            yield flush()
+        tidy()
+
+    return combine
+
+
+def _chained(schema: str):
+    """Rows of a task's buckets, sorted by bucket and key, to the chains of their keys."""
+
+    def own(batches):
+        at, chain = None, []  # chain: [text, largest doc_id, count] of each different text of the key
+
+        def links():
+            rows = sorted((hashlib.sha256(text).hexdigest(), text, id_, n) for text, id_, n in chain)
+            return [(*at, k, sha, id_, n) for k, (sha, _, id_, n) in enumerate(rows, 1)]
+
+        for batch in batches:
+            out = []
+            for bucket, key, text, id_, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (bucket, key) != at:
+                    out += links()
+                    at, chain = (bucket, key), []
+                for link in chain:
+                    if link[0] == text:
+                        link[1] = id_ if link[1] is None else link[1] if id_ is None else max(link[1], id_)
+                        link[2] += n
+                        break
+                else:
+                    chain.append([text, id_, n])
+            yield arrow_batch(schema, out)
+        yield arrow_batch(schema, links() if chain else [])
+        tidy()
+
+    return own
+
+
+def write_index(docs: DataFrame, directory: Directory) -> DataFrame:
+    """bucket, key, link, text_sha256, keep_id, group_size of each different text, written by the owners as files of its bucket."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    id_type = docs.schema["doc_id"].dataType.simpleString().replace("bigint", "long")
+    owners = min(directory.buckets, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = f"owner int, bucket int, key long, body binary, keep_id {id_type}, n long"
+    posting = f"bucket int, key long, link int, text_sha256 string, keep_id {id_type}, group_size long"
+    texts = docs.select("doc_id", utf8().alias("body")).mapInArrow(_combined(directory, owners, dealt), dealt)
+    owned = texts.repartitionById(owners, F.col("owner")).sortWithinPartitions("bucket", "key").select("bucket", "key", "body", "keep_id", "n")
+    path = scratch_path(spark)
+    owned.mapInArrow(_chained(posting), posting).write.partitionBy("bucket").parquet(path)
+    stored = spark.read.schema("key long, link int, text_sha256 string, " + f"keep_id {id_type}, group_size long, bucket int")
+    return stored.parquet(path)
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256 and its bucket (null if alone)."""
-    entries = fingerprints(docs)
-    index, _ = build_index(entries, capacity)
-    chained = cut(chains(docs, index)).select("key", "text_sha256", "keep_id", "group_size", "bucket")
     # rows that repeat doc_id and text: only the first of them may stay
-    nth = Window.partitionBy("text_sha256", "doc_id").orderBy("key")
-    rows = entries.withColumn("nth", F.row_number().over(nth))
+    nth = Window.partitionBy("key", "text_sha256", "doc_id").orderBy("key")
+    rows = cut(fingerprints(docs).withColumn("nth", F.row_number().over(nth)))
+    index = write_index(docs, build_directory(rows, capacity))
+    groups = index.where("group_size > 1").select("key", "text_sha256", "keep_id", "group_size", "bucket", F.col("group_size").alias("rows"))
+    found = join_by_size(rows, groups, ["key", "text_sha256"], "rows")
     alone = F.col("group_size").isNull()
-    return rows.join(chained, ["key", "text_sha256"], "left").select(
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))) & (F.col("nth") == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"),
         "text_sha256",
         "bucket",
     )

@@ -1,11 +1,14 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flockwatch.llm import components, embedding_dedup, exact_dedup, simhash, suffix_dedup
+from flockwatch.llm.common import arrow_batch, cut
 
 from .conftest import SCHEMA, rows
 
@@ -55,6 +58,55 @@ def test_exact_survivors(docs):
     assert set(texts.values()) == {1} and set(texts) == {r[1] or "" for r in rows()}
 
 
+def test_exact_index_files_decide(spark, docs, monkeypatch):
+    """The directory doubles; each bucket is one owner's file; texts dealt to a wrong bucket would part from their group."""
+    entries = cut(exact_dedup.fingerprints(docs))
+    directory = exact_dedup.build_directory(entries, capacity=4)
+    assert directory.depth > 2 and directory.buckets > 8
+    index = exact_dedup.write_index(docs, directory)
+    found = index.collect()
+    texts = {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows()}
+    assert {r.text_sha256 for r in found} == texts and len(found) == len(texts)
+    for r in found:
+        assert r.bucket == directory.slots[(r.key % (1 << 64)) >> (64 - directory.depth)]
+    assert len(index.inputFiles()) == len({r.bucket for r in found})
+    # a directory with more buckets than there are keys for, and deals that don't follow keys
+    wrong = exact_dedup._combined
+
+    def scattered(d, owners, schema):
+        def combine(batches):
+            import pyarrow as pa
+
+            for batch in wrong(d, owners, schema)(batches):
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    bucket = (row["bucket"] + row["keep_id"] if row["keep_id"] else 0) % d.buckets
+                    yield pa.RecordBatch.from_pylist([row | {"bucket": bucket, "owner": bucket * owners // d.buckets}], schema=batch.schema)
+
+        return combine
+
+    monkeypatch.setattr(exact_dedup, "HELD", 1)
+    monkeypatch.setattr(exact_dedup, "_combined", scattered)
+    assert exact_dedup.write_index(docs.repartition(9), directory).count() > len(texts)
+
+
+def test_exact_chains_tell_collisions_apart():
+    schema = "bucket int, key long, body binary, keep_id long, n long"
+    data = [(0, 5, b"x", 1, 1), (0, 5, b"y", 2, 1), (0, 5, b"x", 7, 2), (0, 6, b"z", None, 1), (1, 9, b"w", 3, 1)]
+    posting = "bucket int, key long, link int, text_sha256 string, keep_id long, group_size long"
+    out = [r for b in exact_dedup._chained(posting)([arrow_batch(schema, data[:2]), arrow_batch(schema, data[2:])]) for r in b.to_pylist()]
+    got = {(r["key"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in out}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {(5, sha(b"x")): (7, 3), (5, sha(b"y")): (2, 1), (6, sha(b"z")): (None, 1), (9, sha(b"w")): (3, 1)}
+    assert sorted(r["link"] for r in out if r["key"] == 5) == [1, 2]
+
+
+def test_directory_has_a_bounded_size(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    directory = exact_dedup.build_directory(keys, capacity=1, slots=64)
+    assert len(directory.slots) <= 64 and directory.buckets > 16
+
+
 def test_directory_splits_only_where_full():
     histogram = {k: 10 for k in range(8)} | {15: 100}
     d = exact_dedup.grow_directory(histogram, 4, 20)
@@ -73,7 +125,7 @@ def brute_fingerprint(text):
     from xxhash import xxh64_intdigest
 
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", words) if w]
     if not words:
         return 0
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]

@@ -69,6 +69,17 @@ def test_take_rows_repeats(spark):
     assert Counter(map(tuple, take_rows(df, times, "n").collect())) == {(1, "a"): 2, (1, "b"): 2, (None, "c"): 2}
 
 
+def test_take_rows_names_and_ties(spark):
+    """Columns named like those of the operator pass through; of rows that differ elsewhere the same one is taken each time."""
+    from flockwatch.llm.common import ROW_KEY, row_key
+
+    data = [(1, "a", "keepme", "k1", "t", x) for x in "qzbx"]
+    df = spark.createDataFrame(data, "doc_id long, text string, _nth string, _row_key string, _times string, lang string").repartition(4)
+    keys = df.select(row_key().alias(ROW_KEY)).distinct()
+    for _ in range(3):
+        assert [tuple(r) for r in take_rows(df.repartition(3), keys).collect()] == [(1, "a", "keepme", "k1", "t", "b")]
+
+
 def test_run(spark):
     made = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert made.count() > 0 and "ids" in made.columns

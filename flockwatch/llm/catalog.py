@@ -66,6 +66,7 @@ QUERIES = {
 ORACLES = {
     "op4_mix_sources": mixing.ORACLE,
     "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op5_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256

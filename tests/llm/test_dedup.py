@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -406,7 +407,7 @@ def test_embeddings_recall_at_the_threshold(spark):
     assert sum(row.n_links for row in got.collect()) >= 0.9 * 2 * n
 
 
-@pytest.mark.parametrize("width", [20, 22, 27, 30])
+@pytest.mark.parametrize("width", [8, 12, 16, 20, 24, 28])
 def test_embeddings_recall_at_any_width(width):
     r = np.random.default_rng(4)
     unit = r.standard_normal((6000, 64))
@@ -415,9 +416,23 @@ def test_embeddings_recall_at_any_width(width):
     b = r.standard_normal(a.shape)
     b -= (a * b).sum(1)[:, None] * a
     b /= np.linalg.norm(b, axis=1)[:, None]
-    met = (model.keys(a) == model.keys(a * 0.95 + b * np.sqrt(1 - 0.95**2))).any(1)
-    print(width, model.weights.shape[1], met.mean())
-    assert met.mean() >= 0.98
+    c = a * 0.95 + b * np.sqrt(1 - 0.95**2)
+    met = (model.keys(a) == model.keys(c)).any(1)
+    near = (model.bits(a)[:, :128] != model.bits(c)[:, :128]).sum(1) <= model.radius
+    print(width, model.tables, model.radius, met.mean(), near.mean())
+    assert (met & near).mean() >= 0.98
+    assert model.tables * width <= len(model.order) and len(set(model.order.tolist())) == len(model.order)  # disjoint substrings
+
+
+def test_ties_at_the_threshold(spark):
+    """(19, sqrt(39)) / 20 is at cosine 0.95 of (1, 0) but for rounding; multiples of it agree with each other."""
+    tie = [[0.95 * k, math.sqrt(1 - 0.95**2) * k] for k in (1.0, 3.0, 7.0)]
+    below, above = [0.9499999, math.sqrt(1 - 0.9499999**2)], [0.9500001, math.sqrt(1 - 0.9500001**2)]
+    x, y = [np.array(v) / np.linalg.norm(v) for v in (tie[0], [1.0, 0.0])]
+    df = lambda *v: spark.createDataFrame(list(enumerate([[1.0, 0.0], *v])), "vec_id long, embedding array<double>")
+    links = lambda *v: embedding_dedup.near_groups(df(*v)).where("vec_id = 0").first().n_links
+    assert links(below) == 0 and links(above) == 1
+    assert links(tie[0]) == links(tie[0], below) - 0 == (math.fsum(x * y) >= 0.95 * math.sqrt(math.fsum(x * x) * math.fsum(y * y)))
 
 
 def test_large_cells_split(spark, monkeypatch):

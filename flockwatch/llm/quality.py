@@ -2,17 +2,20 @@
 
 Labellers look at a text's words, lines and marks and vote good (+), bad (-) or nothing
 (0), or cannot look at so short a text (.). Expectation-maximisation over the votes of all documents estimates each labeller's
-accuracy and the share of good documents, without any label. The posteriors that follow
-train a linear scorer on hashed character-class sequences and bucketed statistics, which
-decides: documents that score under `THRESHOLD` go.
+accuracy and the share of good documents, without any label. As labellers look for different junk, bad
+documents are a mixture of kinds, one begun from each labeller; a kind has its own chance of
+each vote of each labeller, and all numbers are what the votes say (one count is added to each).
+The posteriors that follow train a linear scorer on hashed character-class sequences and bucketed
+statistics, which decides: documents that score under `THRESHOLD` go.
 
 Scale: votes are a string of nine signs, so all documents reduce to at most 4^9 counted
 patterns, combined before the shuffle; EM runs on those on the driver. The scorer is fitted
-on at most about `SAMPLE` documents chosen by a hash of their text at a rate set from the
-count (a documented bound). Scoring has no shuffle; the model is `BINS` numbers.
+on the `SAMPLE` different texts of least hash (a documented bound), however often each occurs.
+Scoring has no shuffle; the model is `BINS` numbers.
 
 Defined results: a null or empty text has no votes and scores the prior of EM (it stays if
-most documents do); without documents the prior is one half. Further columns pass through.
+most documents do); without documents the prior is one half. Further columns pass through; the query
+takes columns named like its results only if they are not asked to be kept.
 """
 
 from __future__ import annotations
@@ -26,13 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, text_of
 
 BINS = 2048
 SAMPLE = 4000
-THRESHOLD = 0.4
-#: Labellers are taken to be better than chance: a bad vote is so many times likelier on bad documents.
-LEAST_ODDS = 400.0
+THRESHOLD = 0.5
 LABELLERS = ("marks", "capitals", "shouts", "variety", "cells", "function_words", "punctuation", "lines", "runs")
 
 #: Frequent function words of English, French, German and Spanish.
@@ -104,57 +105,58 @@ def pattern(v: list[int | None]) -> str:
 
 @dataclass
 class WeakModel:
-    """Prior of good, and for each labeller the chance of each vote (bad, none, good) given bad and good."""
+    """Shares of good documents and of each kind of bad ones, and for each of these the chance of each vote (bad, none, good) of each labeller."""
 
-    prior: float
-    chance: np.ndarray  # labeller, truth, vote
+    share: np.ndarray  # kind, good being the first
+    chance: np.ndarray  # kind, labeller, vote
 
     @classmethod
-    def fit(cls, counted: dict[str, int], rounds: int = 60) -> "WeakModel":
-        """EM over counted vote patterns, begun from whether any labeller finds junk."""
+    def fit(cls, counted: dict[str, int], rounds: int = 300, added: float = 1.0) -> "WeakModel":
+        """EM over counted vote patterns, begun from which labellers find junk."""
         k = len(LABELLERS)
         if not sum(counted.values()):
-            return cls(0.5, np.full((k, 2, 3), 1 / 3))
+            return cls(np.array([0.5, *[0.5 / k] * k]), np.full((k + 1, k, 3), 1 / 3))
         keys = sorted(counted)
         n = np.array([counted[key] for key in keys], dtype=float)
-        seen = np.array([[c != "." for c in key] for key in keys])
-        v = np.array([["-0+.".index(c) % 3 for c in key] for key in keys])
-        good = np.array([0.1 if "-" in key else 0.9 for key in keys])
-        model = None
+        said = np.stack([_votes_of(key) for key in keys])
+        junk = said[:, :, 0]
+        found = junk.sum(1, keepdims=True)
+        of = np.concatenate([np.where(found > 0, 0.1, 0.9), np.where(found > 0, 0.9 * junk / np.maximum(found, 1), 0.1 / k)], 1)
         for _ in range(rounds):
-            prior = float(np.clip((n * good).sum() / n.sum(), 0.01, 0.99))
-            chance = np.empty((k, 2, 3))
-            for truth, weight in enumerate((n * (1 - good), n * good)):
-                for j in range(k):
-                    c = np.bincount(v[:, j], weight * seen[:, j], 3) + 0.1
-                    chance[j, truth] = c / c.sum()
-            chance[:, 1, 0] = np.minimum(chance[:, 1, 0], chance[:, 0, 0] / LEAST_ODDS)
-            chance /= chance.sum(2, keepdims=True)
-            model = cls(prior, chance)
-            new = np.array([model.posterior(key) for key in keys])
-            if np.abs(new - good).max() < 1e-9:
+            weight = n[:, None] * of
+            share = weight.sum(0) + added
+            chance = np.einsum("ic,ijv->cjv", weight, said) + added
+            model = cls(share / share.sum(), chance / chance.sum(2, keepdims=True))
+            new = model.kinds(said)
+            if np.abs(new - of).max() < 1e-9:
                 break
-            good = new
+            of = new
         return model
 
+    @property
+    def prior(self) -> float:
+        return float(self.share[0])
+
+    def kinds(self, said: np.ndarray) -> np.ndarray:
+        """Chance of each kind given votes (a row each); a labeller that couldn't look counts for nothing."""
+        log = np.log(self.share) + np.einsum("ijv,cjv->ic", said, np.log(self.chance))
+        likely = np.exp(log - log.max(1, keepdims=True))
+        return likely / likely.sum(1, keepdims=True)
+
     def posterior(self, key: str) -> float:
-        """Chance that a document with these votes is good; a labeller that couldn't look counts for nothing."""
-        logit = np.log(self.prior / (1 - self.prior))
-        for j, c in enumerate(key):
-            if c != ".":
-                bad, good = self.chance[j][:, "-0+".index(c)]
-                logit += np.log(good / bad)
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        """Chance that a document with these votes is good."""
+        return float(self.kinds(_votes_of(key)[None])[0, 0])
 
     def accuracies(self) -> dict[str, float]:
         """Chance that a labeller's vote is right, where it votes."""
-        p = np.array([1 - self.prior, self.prior])
-        out = {}
-        for j, name in enumerate(LABELLERS):
-            right = p[0] * self.chance[j, 0, 0] + p[1] * self.chance[j, 1, 2]
-            said = (p * (self.chance[j, :, 0] + self.chance[j, :, 2])).sum()
-            out[name] = float(right / said)
-        return out
+        by = self.share[:, None, None] * self.chance
+        right = by[1:, :, 0].sum(0) + by[0, :, 2]
+        return dict(zip(LABELLERS, (right / (by[:, :, 0] + by[:, :, 2]).sum(0)).tolist()))
+
+
+def _votes_of(key: str) -> np.ndarray:
+    """labeller, vote: 1 for what was voted."""
+    return np.array([[c == x for x in "-0+"] for c in key], dtype=float)
 
 
 def hashed(raw: bytes, s: list[float]) -> np.ndarray:
@@ -204,9 +206,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
     counted = {r.votes: r.n for r in map_texts(docs.select("text"), [], "votes string", make).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     weak = WeakModel.fit(counted)
-    total = sum(counted.values())
-    rate = min(1.0, sample / max(1, total))
-    pick = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) < int(rate * (1 << 30))
+    texts = docs.select(text_of().alias("text"), F.xxhash64(text_of(), F.lit("quality")).alias("draw"))
+    last = texts.select("draw").distinct().orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    some = texts.where(F.col("draw") <= F.lit(last)).select("text").distinct()
 
     def vectors():
         def work(texts):
@@ -215,7 +217,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
         return work
 
-    rows = map_texts(docs.select("text").where(pick).dropDuplicates(), [], "votes string, vector binary", vectors).collect()
+    rows = map_texts(some, [], "votes string, vector binary", vectors).collect()
     rows = sorted(((r.votes, bytes(r.vector)) for r in rows))
     if not rows:
         return QualityModel(weak, np.zeros(BINS + 1))

@@ -87,6 +87,68 @@ def test_quality_against_labels(spark):
     assert good.kept.mean() >= 0.99 and (~bad.kept).mean() >= 0.85
 
 
+def brute_posteriors(keys, rounds):
+    """The same model by loops over single documents: kind 0 is good, one kind more for each labeller."""
+    k = len(quality.LABELLERS)
+    of = []
+    for key in keys:
+        junk = key.count("-")
+        of.append([0.1] + [0.9 * (c == "-") / junk for c in key] if junk else [0.9] + [0.1 / k] * k)
+    for _ in range(rounds):
+        share = [1 + sum(o[c] for o in of) for c in range(k + 1)]
+        total = sum(share)
+        new = [[x / total for x in share] for _ in keys]
+        for c in range(k + 1):
+            for j in range(k):
+                count = {v: 1.0 for v in "-0+"}
+                for key, o in zip(keys, of):
+                    if key[j] != ".":
+                        count[key[j]] += o[c]
+                whole = sum(count.values())
+                for i, key in enumerate(keys):
+                    if key[j] != ".":
+                        new[i][c] *= count[key[j]] / whole
+        of = [[x / sum(o) for x in o] for o in new]
+    return [o[0] for o in of]
+
+
+def test_weak_labels_brute_force():
+    r = random.Random(8)
+    keys = ["".join(r.choice("0000+-.") for _ in quality.LABELLERS) for _ in range(60)] * 2
+    counted = {key: keys.count(key) for key in keys}
+    for rounds in (1, 5, 25):
+        model = quality.WeakModel.fit(counted, rounds)
+        want = brute_posteriors(keys, rounds)
+        assert all(abs(model.posterior(key) - w) < 1e-6 for key, w in zip(keys, want))
+
+
+def test_quality_query_brute_force(spark, docs):
+    """All steps over plain Python rows: votes, EM, fit on all different texts, scores."""
+    texts = [(r[1] or "").encode() for r in rows()]
+    keys = {t: quality.pattern(quality.votes(quality.statistics(t))) for t in texts}
+    counted = {}
+    for t in texts:
+        counted[keys[t]] = counted.get(keys[t], 0) + 1
+    weak = quality.WeakModel.fit(counted)
+    train = sorted((keys[t], quality.hashed(t, quality.statistics(t)).astype("<f4").tobytes()) for t in set(texts))
+    x = np.stack([np.frombuffer(v, "<f4") for _, v in train])
+    weights = quality.fit_scorer(x, np.array([weak.posterior(k) for k, _ in train]))
+    got = quality.score(docs, quality.train(docs), ["doc_id", "text"]).collect()
+    for r in got:
+        raw = (r.text or "").encode()
+        want = weak.prior if not raw.split() else 1 / (1 + np.exp(-(quality.hashed(raw, quality.statistics(raw)) @ weights[:-1] + weights[-1])))
+        assert abs(r.quality - want) < 1e-6 and r.kept == (r.quality >= quality.THRESHOLD) and r.votes == keys[raw]
+
+
+def test_quality_of_few_texts_often_repeated(spark):
+    texts = ["## $$ %% ** ## $$ %% @@ ## $$ %% ** ## $$ %% @@ ** ++ ## $$ %% **", "The dog and the cat were in the house, and it was good for them. " * 3, "one"]
+    df = spark.range(60_000).selectExpr("id as doc_id", f"element_at(array({', '.join(repr(t) for t in texts)}), cast(id % 3 + 1 as int)) as text")
+    model = quality.train(df)
+    assert np.abs(model.weights).max() > 0.1
+    kept = {r.text: r.kept for r in quality.score(df.limit(3), model, ["text"]).collect()}
+    assert not kept[texts[0]] and kept[texts[1]]
+
+
 def test_weak_labels_find_accuracies():
     r = random.Random(1)
     counted = {}

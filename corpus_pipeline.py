@@ -15,8 +15,11 @@ from flockwatch.llm.common import cut, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    model = quality.train(docs)
-    return quality.score(docs, model, docs.columns, "_quality_").where("_quality_kept").select(*[f"`{c}`" for c in docs.columns])
+    prefix = "_quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):  # columns of any name pass through
+        prefix = f"_{prefix}"
+    scored = quality.score(docs, quality.train(docs), docs.columns, prefix)
+    return scored.where(f"{prefix}kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

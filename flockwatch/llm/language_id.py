@@ -5,18 +5,22 @@ it. A text is parsed into phrases, each the longest match from where the last on
 the language whose automaton needs the fewest phrases wins, counted in bits a symbol
 (phrases times the bits that name a place in the language's sample, by symbols).
 
-Texts are seen as lower-case letters with one gap for anything else between them. Parsing
-starts anew every `BLOCK` symbols, so that all blocks of a batch walk their automata in
-step as one array operation; every symbol of every text is parsed.
-
-Scale: the automata are built from at most `SAMPLE_SYMBOLS` symbols a language, drawn from
-at most `SAMPLE_ROWS` rows a language by the hash of doc_id (documented bounds; what is
-broadcast is those symbols). Languages are counted (a row each) and rows are chosen where
-they are read; classifying has no shuffle.
+Texts are seen as lower-case letters with one gap for anything else between them. A text of
+any length has one parse: blocks of `BLOCK` symbols are walked in step as one array operation,
+each as if a phrase began there; then each block's last phrase is followed into the next blocks up
+to where a phrase begins in both parses, from which on they are the same. What a block guessed
+before that place doesn't count.
+
+Scale: the automata are built from whole texts of at most `SAMPLE_ROWS` rows a language, drawn
+by the hash of doc_id, `SAMPLE_SYMBOLS` in all (documented bounds; what is broadcast is those
+texts; rows that don't fit are passed over, unless none does: then the shortest counts). Languages
+are counted (a row each) and rows are chosen where they are read; classifying has no shuffle. A
+task holds some 20 bytes for each symbol of `AT_ONCE` symbols, or of the longest text.
 
 Defined results: `und` and score 0 for a null text, one without letters, or if nothing
 could be learned; score is 1 - best / second best (1 if one language was learned). Rows
-whose doc_id is null count as held out. Ties go to the language first by code point.
+whose doc_id is null count as held out. Ties go to the language first by code point. Further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, text_of
 
-SAMPLE_ROWS, SAMPLE_SYMBOLS = 120, 30_000
-BLOCK = 1024
+SAMPLE_ROWS, SAMPLE_SYMBOLS = 60, 40_000
+BLOCK, AT_ONCE = 512, 8_000_000
 FOLDS = 5
 GAP, OTHER = 0, 1
 
@@ -51,35 +55,30 @@ def draw(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS
     """Sample text by language, from rows outside the held-out fold.
 
     Rows are chosen by a hash of doc_id at a rate set from each language's count, then
-    by that hash's order; each gives a window whose place depends on the hash too.
+    by that hash's order; only their lengths are looked at until it is clear which are taken.
     """
-    learn = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw_ = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    picked = []
-    for lang, n in sorted(counts.items()):
-        rate = min(1.0, 4.0 * rows / n)
-        picked.append((F.col("lang") == lang) & (draw_ < int(rate * (1 << 30))))
-    if not picked:
+    learn = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", text_of().alias("body"), draw_.alias("draw"))
+    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = [(F.col("lang") == lang) & (F.col("draw") < int(min(1.0, 4.0 * rows / n) * (1 << 30))) for lang, n in sorted(counts.items())]
+    if not near:
         return {}
-    picked = (
-        learn.where(reduce(or_, picked)).select("lang", text_of().alias("body"), draw_.alias("draw")).orderBy("lang", "draw", "body")
-    )
-    share = max(1, symbols // max(1, rows // 2))
-    taken: dict[str, list[str]] = {}
-    seen: dict[str, int] = {}
-    sizes: dict[str, int] = {}
-    for row in picked.toLocalIterator():
-        if seen.get(row.lang, 0) >= rows or sizes.get(row.lang, 0) >= symbols:
-            continue
-        text = normal(row.body)
-        at = row.draw % max(1, len(text) - share)
-        part = text[at : at + share]
-        if part and part not in taken.get(row.lang, ()):
-            taken.setdefault(row.lang, []).append(part)
-            seen[row.lang] = seen.get(row.lang, 0) + 1
-            sizes[row.lang] = sizes.get(row.lang, 0) + len(part) + 1
-    return {lang: " ".join(parts)[:symbols] for lang, parts in sorted(taken.items())}
+    lettered = learn.where(reduce(or_, near)).where(F.col("body").rlike(r"\p{L}"))
+    candidates = lettered.select("lang", "draw", F.length("body").alias("n")).distinct().collect()
+    chosen: dict[str, list[int]] = {}
+    for lang in sorted({r.lang for r in candidates}):
+        own = sorted((r.draw, r.n) for r in candidates if r.lang == lang)
+        left = symbols
+        for at, n in own:
+            if n < left and len(chosen.get(lang, ())) < rows:
+                chosen.setdefault(lang, []).append(at)
+                left -= n + 1
+        chosen.setdefault(lang, [min(own, key=lambda x: (x[1], x[0]))[0]])
+    taken = lettered.where(reduce(or_, [(F.col("lang") == lang) & F.col("draw").isin(at) for lang, at in chosen.items()])) if chosen else lettered
+    found: dict[str, list[str]] = {}
+    for row in taken.distinct().orderBy("lang", "draw", "body").collect():
+        found.setdefault(row.lang, []).append(normal(row.body))
+    return {lang: " ".join(dict.fromkeys(parts)) for lang, parts in sorted(found.items())}
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -138,6 +137,12 @@ class Parser:
         self.bits = np.array([math.log2(len(text) + 1) for _, text in samples])
         self.symbol = _symbols(tuple(code.items()))
 
+    def _walk(self, state: np.ndarray, lang: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a symbol each, and where a phrase began with it."""
+        to = self.table[state * self.width + symbol]
+        began = to < 0
+        return np.where(began, self.again[lang, symbol], to), began
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by text and language, symbols by text, and whether a text has letters."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -151,29 +156,81 @@ class Parser:
         n = np.bincount(owner, minlength=len(texts))
         letters = np.bincount(owner[symbols != GAP], minlength=len(texts)) > 0
         blocks = -(-n // BLOCK)
-        text_of_block = np.repeat(np.arange(len(texts)), blocks)
-        nth = np.arange(len(text_of_block)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        of = np.repeat(np.arange(len(texts)), blocks)  # text of each block
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = np.repeat(np.cumsum(n) - n, blocks) + nth * BLOCK
         size = np.minimum(BLOCK, np.repeat(n, blocks) - nth * BLOCK)
+        stop = np.repeat(np.cumsum(n), blocks)  # end of the block's text
+        began, state = self._blocks(symbols, begin, size)
+        total = np.zeros((len(self.langs), len(texts)), dtype=np.int64)
+        before = np.zeros(len(symbols) + 1, dtype=np.int64)
+        met, more = self._followed(state, symbols, began, begin + size, stop)
+        for lang in range(len(self.langs)):
+            np.cumsum(began[lang], out=before[1:])
+            total[lang] = self._counted(of, begin, size, met[lang], more[lang], stop, before, len(texts))
+        return total, n, letters
+
+    def _blocks(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin in each language's parse of each block, and the state at the block's end."""
+        langs = np.arange(len(self.langs))[:, None]
+        began = np.zeros((len(self.langs), len(symbols)), dtype=bool)
         order = np.argsort(-size, kind="stable")
-        begin, size, text_of_block = begin[order], size[order], text_of_block[order]
+        first, long = begin[order], size[order]
         state = np.broadcast_to(self.ended, (len(self.langs), len(begin))).copy()
-        count = np.zeros(state.shape, dtype=np.int32)
-        active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+        active = np.searchsorted(-long, -np.arange(long[0] if len(long) else 0), side="left")
         for t, k in enumerate(active):
-            s = symbols[begin[:k] + t]
-            to = self.table[state[:, :k] * self.width + s]
-            ended = to < 0
-            count[:, :k] += ended
-            np.copyto(to, self.again[:, s], where=ended)
-            state[:, :k] = to
-        total = np.stack([np.bincount(text_of_block, c, len(texts)) for c in count]) if self.langs else np.zeros((0, len(texts)))
-        return total, n, letters
+            place = first[:k] + t
+            state[:, :k], began[:, place] = self._walk(state[:, :k], langs, symbols[place])
+        out = np.empty_like(state)
+        out[:, order] = state
+        return began, out
+
+    def _followed(self, state: np.ndarray, symbols: np.ndarray, began: np.ndarray, end: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's parses beyond its end: where they meet those of a later block (or the text ends), and phrases begun until then."""
+        met = np.tile(end, (len(self.langs), 1))
+        more = np.zeros(met.shape, dtype=np.int64)
+        lang, block = np.nonzero(met < stop)
+        state, place = state[lang, block], met[lang, block]
+        while len(block):
+            state, mine = self._walk(state, lang, symbols[place])
+            same = mine & began[lang, place]
+            more[lang, block] += mine & ~same
+            place = place + ~same
+            met[lang, block] = place
+            go = ~same & (place < stop[block])
+            lang, block, state, place = lang[go], block[go], state[go], place[go]
+        return met, more
+
+    def _counted(self, of, begin, size, met, more, stop, before, texts: int) -> np.ndarray:
+        """Phrases by text: of each block that the parse passes, those from where it is met, and those begun beyond it."""
+        last = begin + size == stop
+        enter, passed = begin.copy(), np.ones(len(of), dtype=bool)
+        goes = np.flatnonzero(~last)
+        enter[goes + 1] = met[goes]
+        far = np.unique(of[goes[met[goes] >= (begin + size)[goes + 1]]])  # texts where a phrase spans a block
+        for text in far.tolist():
+            own = np.flatnonzero(of == text)
+            passed[own] = False
+            at, place = own[0], begin[own[0]]
+            while True:
+                passed[at], enter[at] = True, place
+                place = met[at]
+                if last[at] or place >= stop[at]:
+                    break
+                at = own[(place - begin[own[0]]) // BLOCK]
+        number = before[begin + size] - before[enter] + more
+        return np.bincount(of[passed], number[passed], texts).astype(np.int64)
 
     def classify(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
-        total, n, letters = self.phrases(texts)
+        parts, begin, held = [], 0, 0
+        for k, text in enumerate([*texts, None]):  # so many texts at a time
+            if k > begin and (text is None or held + len(text) > AT_ONCE // len(self.langs)):
+                parts.append(self.phrases(texts[begin:k]))
+                begin, held = k, 0
+            held += len(text or "")
+        total, n, letters = (np.concatenate(x, axis=-1) for x in zip(*parts))
         cost = total * self.bits[:, None] / np.maximum(n, 1)
         best = np.argmin(cost, axis=0)
         low = np.sort(cost, axis=0)

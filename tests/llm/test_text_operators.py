@@ -409,6 +409,51 @@ def test_cross_parsing_matches_brute_force():
             assert total[k, 0] == phrases, (text, sample)
 
 
+def brute_phrases(norm, sample):
+    phrases, i = 0, 0
+    while i < len(norm):
+        j = i + 1
+        while j <= len(norm) and norm[i:j] in sample:
+            j += 1
+        i = max(i + 1, j - 1)
+        phrases += 1
+    return phrases
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 50, 512])
+def test_long_texts_have_one_parse(monkeypatch, block):
+    """Blocks of any size, phrases longer than blocks and texts of many blocks: the count is that of one parse."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    r = random.Random(block)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 5)))
+    samples = {k: " ".join(word() for _ in range(120)) for k in "xyz"}
+    parser = language_id.Parser(tuple(samples.items()))
+    texts = [" ".join(word() for _ in range(r.randint(0, 300))) for _ in range(12)]
+    texts += [samples["x"], samples["y"][10:90] * 3, "", "q" * 40, "ab" * 700, "é" + samples["z"]]
+    texts = [language_id.normal(t) for t in texts]
+    total, n, _ = parser.phrases(texts)
+    for i, text in enumerate(texts):
+        assert n[i] == len(text)
+        for k, sample in enumerate(samples.values()):
+            assert total[k, i] == brute_phrases(text, sample), (block, text[:40], k)
+
+
+def test_language_ties_go_to_the_first():
+    parser = language_id.Parser((("a", "xy xy"), ("b", "xy xy")))
+    assert parser.classify(["xy", "", "7"]) == (["a", "und", "und"], [0.0, 0.0, 0.0])
+
+
+def test_language_sample_is_whole_texts_within_bounds(spark, docs):
+    got = language_id.draw(docs, rows=5, symbols=3000)
+    texts = {language_id.normal(r[1]) for r in rows() if r[1] and r[2]}
+    assert set(got) == {"en"} and len(got["en"]) <= 3000
+    left = got["en"]
+    for t in sorted(texts, key=len, reverse=True):
+        left = left.replace(t, "")
+    assert not left.strip()
+    assert language_id.draw(docs, rows=5, symbols=1)["en"] in texts  # none fits: the shortest
+
+
 def test_language_held_out_accuracy(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs, language_id.draw(docs)).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -1,6 +1,8 @@
 """Word n-grams of messages, and which of them are repeated by whom.
 
-Everything is grouped by the n-gram's words; numbers are given once, to distinct n-grams.
+N-grams are grouped by 128 bits of a hash of their words (two different ones share them with a
+chance of 2^-128), so words stay in the messages until a result asks for them; numbers are
+given once, to distinct n-grams.
 """
 
 from __future__ import annotations
@@ -9,10 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NGRAM_SIZES, longer_ngrams, tokens
+from ..scratch import cut
 from .rows import not_blank, numbered
 
 #: Messages whose n-grams are numbered together.
 BLOCK = 1 << 14
+#: What n-grams are grouped by, and how many of them are broadcast at most (24 bytes each).
+GRAM = ["h1", "h2", "n"]
+FEW = 2_000_000
 
 
 def messages(df: DataFrame, number: bool = True) -> DataFrame:
@@ -33,36 +39,74 @@ def occurrences(df: DataFrame, *keys: str, sizes: tuple[int, ...] = NGRAM_SIZES)
 
 
 def message_counts(df: DataFrame, *keys: str, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
-    """`keys`, words, n, count."""
-    return occurrences(df, *keys, sizes=sizes).groupBy(*keys, "words", "n").agg(F.count(F.lit(1)).alias("count"))
+    """`keys`, words, n, count. Texts are dealt out by `keys` before they are taken apart, so n-grams never move."""
+    return occurrences(df.repartition(*keys), *keys, sizes=sizes).groupBy(*keys, "words", "n").agg(F.count(F.lit(1)).alias("count"))
 
 
-def definitions(df: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
-    """ngram_id, words, n: ids from 0 in the order in which n-grams are first met.
+def hashed(df: DataFrame, *keys: str, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
+    """One row for each n-gram in each message: `keys`, start, n and 128 bits of a hash of its words."""
+    words = df.select(*keys, tokens(F.col("message_text")).alias("w")).where(F.size("w") >= min(sizes))
+    half = lambda seed: F.transform("w", lambda x: F.xxhash64(F.lit(seed), x))
+    words = words.select(*keys, F.size("w").alias("m"), half(1).alias("a"), half(2).alias("b"))
+    words = words.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - min(sizes))).alias("start"))
+    whole = lambda side, n: F.xxhash64(*[F.get(side, F.col("start") + k) for k in range(n)])
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), whole("a", n).alias("h1"), whole("b", n).alias("h2")) for n in sizes])
+    return words.select(*keys, "m", "start", F.inline(grams)).where(F.col("start") + F.col("n") <= F.col("m")).drop("m")
+
+
+def _counted(own: DataFrame, *keys: str, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
+    """`keys` (the first tells messages apart), n, h1, h2, count and first start of each n-gram of each message; only texts move."""
+    return hashed(own.repartition(keys[0]), *keys, sizes=sizes).groupBy(*keys, *GRAM).agg(F.count(F.lit(1)).alias("count"), F.min("start").alias("start"))
+
+
+def _first(counted: DataFrame) -> DataFrame:
+    """n, h1, h2 and message and start where each n-gram is first met."""
+    order = Window.partitionBy(*GRAM).orderBy("message_surrogate_id")
+    first = counted.select(*GRAM, "message_surrogate_id", "start").withColumn("nth", F.row_number().over(order))
+    return first.where("nth = 1").drop("nth")
+
+
+def _spelled(first: DataFrame, own: DataFrame) -> DataFrame:
+    """`first` and words, read from the message where the n-gram is met; a message's n-grams travel to it in one list."""
+    lists = first.groupBy("message_surrogate_id").agg(F.collect_list(F.struct(*GRAM, "start")).alias("grams"))
+    texts = own.select("message_surrogate_id", tokens(F.col("message_text")).alias("w"))
+    words = lambda g: F.array_join(F.slice("w", g["start"] + 1, g["n"]), " ")
+    named = F.transform("grams", lambda g: F.struct(g["n"].alias("n"), g["h1"].alias("h1"), g["h2"].alias("h2"), g["start"].alias("start"), words(g).alias("words")))
+    return lists.join(texts, "message_surrogate_id").select("message_surrogate_id", F.inline(named))
+
+
+def _defined(counted: DataFrame, own: DataFrame) -> DataFrame:
+    """ngram_id, words, n, h1, h2: ids from 0 in the order in which n-grams are first met.
 
     An id is the count of n-grams that are new in earlier messages plus the place among
     those new in its own; counts are summed by block of messages first.
     """
-    met = F.struct("message_surrogate_id", "start", "n")
-    first = occurrences(df, "message_surrogate_id", sizes=sizes).groupBy("words", "n").agg(F.min(met).alias("met"))
-    first = first.select("words", "n", F.col("met.message_surrogate_id").alias("message"), F.col("met.start").alias("start"))
-    first = first.withColumn("block", F.floor(F.col("message") / BLOCK))
-    own = Window.partitionBy("block").orderBy("message", "start", "n")
+    first = _spelled(_first(counted), own).withColumn("block", F.floor(F.col("message_surrogate_id") / BLOCK))
+    place = Window.partitionBy("block").orderBy("message_surrogate_id", "start", "n")
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     blocks = first.groupBy("block").agg(F.count(F.lit(1)).alias("new"))
     blocks = blocks.select("block", F.coalesce(F.sum("new").over(earlier), F.lit(0)).alias("base"))
-    numbered_ = first.withColumn("place", F.row_number().over(own) - 1).join(blocks, "block")
-    return numbered_.select((F.col("base") + F.col("place")).cast("long").alias("ngram_id"), "words", "n")
+    numbered_ = first.withColumn("place", F.row_number().over(place) - 1).join(blocks, "block")
+    return numbered_.select((F.col("base") + F.col("place")).cast("long").alias("ngram_id"), "words", *GRAM)
+
+
+def definitions(df: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
+    """ngram_id, words, n of messages()."""
+    return _defined(cut(_counted(df, "message_surrogate_id", sizes=sizes)), df).select("ngram_id", "words", "n")
 
 
 def analyze(df: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> dict[str, DataFrame]:
-    """message_ngrams, ngrams and message_authors of user_id, message_id, message_text, timestamp."""
+    """message_ngrams, ngrams and message_authors of user_id, message_id, message_text, timestamp.
+
+    Messages are taken apart once; n-grams are told apart by 128 bits of a hash, and their words
+    are read from the message where each is first met.
+    """
     own = messages(df)
-    defs = definitions(own, sizes)
-    counted = message_counts(own, "message_surrogate_id", sizes=sizes)
+    counted = cut(_counted(own, "message_surrogate_id", sizes=sizes))
+    defs = cut(_defined(counted, own))
     return {
-        "message_ngrams": counted.join(defs.select("ngram_id", "words"), "words").select("message_surrogate_id", "ngram_id", "count"),
-        "ngrams": defs,
+        "message_ngrams": counted.join(defs.select("ngram_id", *GRAM), GRAM).select("message_surrogate_id", "ngram_id", "count"),
+        "ngrams": defs.select("ngram_id", "words", "n"),
         "message_authors": own,
     }
 
@@ -99,19 +143,31 @@ def _stats(counts: DataFrame, *keys: str) -> DataFrame:
     return total.where("total_reps > 1")
 
 
+def _repeats(df: DataFrame, sizes: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of n-grams met more than once: counts by message; reps by user; words, total_reps and distinct_posters.
+
+    Messages are taken apart once; n-grams met once, most of them, go no further than a count of hashes.
+    """
+    own = messages(df)
+    counted = cut(_counted(own, "message_surrogate_id", "message_id", "user_id", sizes=sizes))
+    seen = cut(counted.groupBy(*GRAM).agg(F.sum("count").alias("times")).where("times > 1").select(*GRAM))
+    if seen.count() <= FEW:
+        seen = F.broadcast(seen)
+    met = cut(counted.join(seen, GRAM, "left_semi"))
+    by_user = met.groupBy(*GRAM, "user_id").agg(F.sum("count").alias("reps"))
+    total = by_user.groupBy(*GRAM).agg(F.sum("reps").alias("total_reps"), F.count("user_id").alias("distinct_posters"))
+    return met, by_user, total.join(_spelled(_first(met), own).select(*GRAM, "words"), GRAM)
+
+
 def repeated_words(df: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
     """words, n, total_reps, distinct_posters without ids."""
-    own = messages(df, number=False)
-    return _stats(occurrences(own, "user_id", sizes=sizes).groupBy("user_id", "words", "n").agg(F.count(F.lit(1)).alias("count")), "words", "n")
+    return _repeats(df, sizes)[2].select("words", "n", "total_reps", "distinct_posters")
 
 
 def repeated_words_full(df: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
     """Each message and poster of each repeated n-gram, without ids."""
-    own = messages(df, number=False)
-    counts = message_counts(own, "message_id", "user_id", sizes=sizes)
-    by_user = counts.groupBy("words", "n", "user_id").agg(F.sum("count").alias("reps"))
-    total = by_user.groupBy("words", "n").agg(F.sum("reps").alias("total_reps"), F.count("user_id").alias("distinct_posters")).where("total_reps > 1")
-    posters = by_user.join(total, ["words", "n"]).select("words", "n", "user_id", F.col("reps").cast("int").alias("reps_per_user"), "total_reps", "distinct_posters")
-    return counts.join(posters, ["words", "n", "user_id"]).select(
+    met, by_user, total = _repeats(df, sizes)
+    posters = by_user.join(total, GRAM).withColumn("reps_per_user", F.col("reps").cast("int")).drop("reps")
+    return met.join(posters, [*GRAM, "user_id"]).select(
         "words", "n", "total_reps", "distinct_posters", "user_id", "reps_per_user", "message_id"
     )

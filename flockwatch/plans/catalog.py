@@ -78,6 +78,18 @@ def ngram_full(spark, sf_dir):
     return ngrams.repeated_words_full(_messages(spark, sf_dir))
 
 
+def ngram_message_ids(spark, sf_dir):
+    return ngrams.analyze(_messages(spark, sf_dir))["message_ngrams"]
+
+
+def ngram_summary(spark, sf_dir):
+    return ngrams.repeated(ngrams.analyze(_messages(spark, sf_dir)))["ngram_stats"]
+
+
+def ngram_report(spark, sf_dir):
+    return ngrams.repeated(ngrams.analyze(_messages(spark, sf_dir)))["ngram_full"]
+
+
 def ngram_scatter(spark, sf_dir):
     return REGISTRY.presenter("ngrams", "ngram_repetition_by_poster").chart(ngram_stats(spark, sf_dir))
 
@@ -127,7 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         temporal_interval_count, temporal_minute_buckets, temporal_bars, temporal_peak, time_coordination, hashtag_gini,
-        ngram_message_counts, ngram_defs, ngram_ids, ngram_stats, ngram_full, ngram_scatter, scan_count, preprocess_projection,
+        ngram_message_counts, ngram_defs, ngram_ids, ngram_message_ids, ngram_stats, ngram_full, ngram_summary, ngram_report, ngram_scatter, scan_count, preprocess_projection,
         export_rename, filter_not_blank, surrogate_ids, semantic_inference, column_automap,
     )
 }
@@ -163,6 +175,11 @@ st as (
   select words, n, sum(c)::bigint as total_reps, count(distinct source) as distinct_posters
   from mc group by all having sum(c) > 1)
 """
+_ids = """
+, f as (select words, n, min((row(doc_id, i, n))) as met from q group by all),
+ids as (select (row_number() over (order by met) - 1)::bigint as ngram_id, words, n from f),
+pos as (select doc_id, row_number() over () as pos from documents)
+"""
 
 ORACLES = {
     "temporal_interval_count": _interval,
@@ -183,6 +200,13 @@ select time, "count", round(gini::float::double, 5) as gini, hashtags from g joi
     "ngram_defs": _grams + "select words, n, count(*) as met from q group by all",
     "ngram_ids": _grams
     + ", f as (select words, n, min((row(doc_id, i, n))) as met from q group by all) select (row_number() over (order by met) - 1)::bigint as ngram_id, words, n from f",
+    "ngram_message_ids": _grams + _ids + 'select pos as message_surrogate_id, ngram_id, c::bigint as "count" from mc join ids using (words, n) join pos using (doc_id)',
+    "ngram_summary": _grams + _ids + "select ngram_id, words, n, total_reps, distinct_posters from st join ids using (words, n)",
+    "ngram_report": _grams
+    + _ids
+    + """select ngram_id, n, words, total_reps, distinct_posters, mc.source as user_id, (sum(c) over (partition by words, n, mc.source))::int as reps_per_user,
+  pos as message_surrogate_id, doc_id as message_id, text as message_text, timestamp '2024-01-01' + doc_id * interval 1 second as timestamp
+from st join mc using (words, n) join ids using (words, n) join pos using (doc_id) join documents using (doc_id)""",
     "ngram_stats": _grams + "select words, n, total_reps, distinct_posters from st",
     "ngram_full": _grams
     + """select words, n, total_reps, distinct_posters, source as user_id,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coordination, hashtags, ngrams, semantics, timeofday
 from ..operators.rows import not_blank, numbered, preprocess, renamed
+from . import source_queries
 from .analyses import REGISTRY
 
 
@@ -87,7 +88,9 @@ def ngram_summary(spark, sf_dir):
 
 
 def ngram_report(spark, sf_dir):
-    return ngrams.repeated(ngrams.analyze(_messages(spark, sf_dir)))["ngram_full"]
+    """The full report with a digest for each message's text, which the report repeats for each of its n-grams."""
+    full = ngrams.repeated(ngrams.analyze(_messages(spark, sf_dir)))["ngram_full"]
+    return full.withColumn("message_text", F.md5(F.col("message_text").cast("binary")))
 
 
 def ngram_scatter(spark, sf_dir):
@@ -105,8 +108,9 @@ def preprocess_projection(spark, sf_dir):
 
 
 def export_rename(spark, sf_dir):
-    labels = {"user_id_1": "First User", "cooccurrence_count": "Windows Shared"}
-    return renamed(time_coordination(spark, sf_dir), labels)
+    """The full report's headers over its shape."""
+    report = ngram_report(spark, sf_dir)
+    return renamed(report, REGISTRY.secondary("ngrams", "ngram_stats").outputs[1].labels)
 
 
 def filter_not_blank(spark, sf_dir):
@@ -117,22 +121,14 @@ def surrogate_ids(spark, sf_dir):
     return numbered(_table(spark, sf_dir, "nation"), "place").select("place", "n_nationkey")
 
 
-def semantic_inference(spark, sf_dir):
-    rows = []
-    for name in ("events", "documents", "pages"):
-        found = semantics.infer(_table(spark, sf_dir, name))
-        rows += [(name, c, s.name, s.data_type) for c, s in found.items()]
-    return spark.createDataFrame(rows, "table_name string, column_name string, semantic string, data_type string")
+def minute_buckets_in_order(spark, sf_dir):
+    """The order of the buckets, as a number of its own."""
+    made = timeofday.minute_buckets(_posts(spark, sf_dir), 15)
+    return made.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("nth"), "time_interval", "count")
 
 
-def column_automap(spark, sf_dir):
-    rows = []
-    for analysis in REGISTRY.primaries():
-        events = _table(spark, sf_dir, "events")
-        columns = {c: s.data_type for c, s in semantics.infer(events).items()}
-        mapped = semantics.automap(columns, [(i.name, i.data_type, list(i.hints)) for i in analysis.inputs])
-        rows += [(analysis.id, i.name, mapped.get(i.name)) for i in analysis.inputs]
-    return spark.createDataFrame(rows, "analysis string, input string, mapped string")
+def input_head(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").limit(5)
 
 
 QUERIES = {
@@ -140,9 +136,9 @@ QUERIES = {
     for f in (
         temporal_interval_count, temporal_minute_buckets, temporal_bars, temporal_peak, time_coordination, hashtag_gini,
         ngram_message_counts, ngram_defs, ngram_ids, ngram_message_ids, ngram_stats, ngram_full, ngram_summary, ngram_report, ngram_scatter, scan_count, preprocess_projection,
-        export_rename, filter_not_blank, surrogate_ids, semantic_inference, column_automap,
+        export_rename, filter_not_blank, surrogate_ids, minute_buckets_in_order, input_head,
     )
-}
+} | source_queries.QUERIES
 
 _interval = """
 select strftime(date_trunc('hour', ts), '%H:%M:%S') as time_interval_start,
@@ -180,6 +176,13 @@ _ids = """
 ids as (select (row_number() over (order by met) - 1)::bigint as ngram_id, words, n from f),
 pos as (select doc_id, row_number() over () as pos from documents)
 """
+_report = (
+    _grams
+    + _ids
+    + """select ngram_id, n, words, total_reps, distinct_posters, mc.source as user_id, (sum(c) over (partition by words, n, mc.source))::int as reps_per_user,
+  pos as message_surrogate_id, doc_id as message_id, md5(text) as message_text, timestamp '2024-01-01' + doc_id * interval 1 second as timestamp
+from st join mc using (words, n) join ids using (words, n) join pos using (doc_id) join documents using (doc_id)"""
+)
 
 ORACLES = {
     "temporal_interval_count": _interval,
@@ -202,11 +205,10 @@ select time, "count", round(gini::float::double, 5) as gini, hashtags from g joi
     + ", f as (select words, n, min((row(doc_id, i, n))) as met from q group by all) select (row_number() over (order by met) - 1)::bigint as ngram_id, words, n from f",
     "ngram_message_ids": _grams + _ids + 'select pos as message_surrogate_id, ngram_id, c::bigint as "count" from mc join ids using (words, n) join pos using (doc_id)',
     "ngram_summary": _grams + _ids + "select ngram_id, words, n, total_reps, distinct_posters from st join ids using (words, n)",
-    "ngram_report": _grams
-    + _ids
-    + """select ngram_id, n, words, total_reps, distinct_posters, mc.source as user_id, (sum(c) over (partition by words, n, mc.source))::int as reps_per_user,
-  pos as message_surrogate_id, doc_id as message_id, text as message_text, timestamp '2024-01-01' + doc_id * interval 1 second as timestamp
-from st join mc using (words, n) join ids using (words, n) join pos using (doc_id) join documents using (doc_id)""",
+    "ngram_report": _report,
+    "export_rename": f"""select ngram_id as "ngram ID", n as "ngram length", words as "ngram content", total_reps as "ngram frequency", distinct_posters as "distinct user count",
+  user_id as "unique username", reps_per_user as "frequency by user", message_surrogate_id as "UPN", message_id as "post identifier", message_text as "post content", timestamp
+from ({_report})""",
     "ngram_stats": _grams + "select words, n, total_reps, distinct_posters from st",
     "ngram_full": _grams
     + """select words, n, total_reps, distinct_posters, source as user_id,
@@ -214,21 +216,11 @@ from st join mc using (words, n) join ids using (words, n) join pos using (doc_i
     "ngram_scatter": _grams + "select distinct_posters as x, total_reps as y, words as hover from st",
     "scan_count": "select count(*) as num_rows from documents",
     "preprocess_projection": "select event_id as message, user_id as author, date_trunc('second', ts) as posted from events",
-    "export_rename": f"""select user_id_1 as "First User", user_id_2, cooccurrence_count as "Windows Shared" from ({_pairs})""",
     "filter_not_blank": "select doc_id as message_id, source as user_id from documents where text is not null and text <> '' and source is not null and source <> ''",
     "surrogate_ids": "select row_number() over () as place, n_nationkey from nation",
-    "semantic_inference": """
-select * from (values
-  ('events', 'ts', 'timestamp', 'datetime'), ('events', 'event_id', 'integer', 'integer'), ('events', 'user_id', 'integer', 'integer'),
-  ('events', 'event_type', 'identifier', 'identifier'), ('events', 'value', 'float', 'float'), ('events', 'props', 'free_text', 'text'),
-  ('documents', 'doc_id', 'integer', 'integer'), ('documents', 'text', 'free_text', 'text'), ('documents', 'lang', 'identifier', 'identifier'),
-  ('documents', 'source', 'identifier', 'identifier'), ('documents', 'n_chars', 'integer', 'integer'),
-  ('pages', 'page_id', 'integer', 'integer'), ('pages', 'url', 'url', 'url'), ('pages', 'html', 'free_text', 'text')
-) t(table_name, column_name, semantic, data_type)""",
-    "column_automap": """
-select * from (values
-  ('hashtags', 'user_id', 'user_id'), ('hashtags', 'hashtags', 'props'), ('hashtags', 'time', 'ts'),
-  ('ngrams', 'user_id', 'user_id'), ('ngrams', 'message_id', 'event_type'), ('ngrams', 'message_text', 'props'), ('ngrams', 'timestamp', 'ts'),
-  ('temporal', 'timestamp', 'ts'), ('time_coordination', 'user_id', 'user_id'), ('time_coordination', 'timestamp', 'ts')
-) t(analysis, input, mapped)""",
-}
+    "minute_buckets_in_order": """
+select row_number() over (order by b) as nth, strftime(timestamp '2024-01-01' + b * interval 15 minute, '%H:%M') || '-' ||
+       strftime(timestamp '2024-01-01' + (b + 1) * interval 15 minute, '%H:%M') as time_interval, "count"
+from (select (hour(ts) * 60 + minute(ts)) // 15 as b, count(*) as "count" from events where ts is not null group by 1)""",
+    "input_head": "select * from nation order by n_nationkey limit 5",
+} | source_queries.ORACLES

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import io
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,10 +11,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut, filesystem, scratch_path, shared_dir
+
+__all__ = ["cut", "scratch_path", "shared_dir"]
+
 #: Rows and bytes of an Arrow batch that a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
-_scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
@@ -23,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def ship(spark: SparkSession) -> None:
     """Give executors this package, by way of the shared folder, wherever the driver was started from."""
     sc = spark.sparkContext
@@ -39,16 +35,24 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root).as_posix()}")
-    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}/{root.name}.zip"
-    at, fs = _filesystem(spark, path)
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}/{root.name}.zip"  # stays as long as the driver: executors may fetch it at any time
+    at, fs = filesystem(spark, path)
     out = fs.create(at)
     out.write(held.getvalue())
     out.close()
-    _scratch.append((spark, path))
+    atexit.register(_drop, spark, path)
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at, fs = filesystem(spark, path)
+        fs.delete(at, True)
+    except Exception:  # the session may be gone by now
+        return
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that long texts travel in, and see that executors can import us.
 
@@ -63,36 +67,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own if that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='flockwatch-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def sweep(keep: int = 0) -> None:
-    """Delete scratch tables but the first `keep` made; what is built on them must have been written by then."""
-    for spark, path in _scratch[keep:]:
-        try:
-            at, fs = _filesystem(spark, path)
-            fs.delete(at, True)
-        except Exception:  # the session may be gone by now
-            return
-    del _scratch[keep:]
-
-
-def scratch_made() -> int:
-    """How many scratch tables there are: what `sweep` may keep."""
-    return len(_scratch)
-
-
-atexit.register(sweep)
-
-
 def tidy() -> None:
     """Give back the memory of a task; its worker process goes on to serve others."""
     import ctypes
@@ -134,28 +108,6 @@ def join_by_size(rows: DataFrame, facts: DataFrame, keys: list[str], size: str,
     return hot.unionByName(rest)
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder, deleted with the other scratch tables."""
-    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back.
-
-    The table outlives any executor, so what is built on it never recomputes what came
-    before, and every reader sees the same rows. Scratch tables go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

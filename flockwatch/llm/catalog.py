@@ -64,6 +64,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": license_scan.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,

@@ -9,7 +9,8 @@ Scale: no shuffle; the automaton is built from fixed templates and grows by its
 only. Texts are read whole, words are found once, and the machine runs from the words
 that can begin a template.
 
-Defined results: a null or empty text has no words, no places, no labels and score 0.
+Defined results: a null or empty text has no words, no places, no labels and score 0. Texts of any length are read whole, a list of
+their words at a time; rows that repeat each get a row. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +30,21 @@ BASE = (
     ("cc-by-nc", "cc by nc"),
 )
 
-#: Wording of public licenses and of the notices that name them.
+#: Wording of public licenses, whole, and of the notices that name them.
 TEMPLATES = (
     ("mit", "[released] [licensed] [distributed] under [the terms of] the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and [associated] documentation files the software to deal in the software without restriction {60} the above copyright notice and this permission notice {8} shall be included in all copies or substantial portions of the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {20} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache-2", "licensed under [the terms of] [the] apache license [version] 2 [0] [the license]"),
-    ("apache-2", "licensed under the apache license version 2 0 [the license] you may not use this file except in compliance with the license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [http] [https] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-3", "licensed under [the terms of] the gnu general public license [as published by the free software foundation] [either] version 3 [of the license] [or [at your option] any later version]"),
     ("gpl-3", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [either] version 3"),
     ("gpl-2", "licensed under [the terms of] the gnu general public license [as published by the free software foundation] [either] version 2 [of the license] [or [at your option] any later version]"),
     ("lgpl-3", "licensed under [the terms of] the gnu lesser general public license [either] version 3 [of the license]"),
     ("agpl-3", "licensed under [the terms of] the gnu affero general public license [either] version 3 [of the license]"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by {20} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {20} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [3] neither the name of {20} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by {20} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {20} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {8} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {20} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("cc-by-nc", "licensed under [a] [the] cc by nc [4 0] [international] [license]"),
     ("cc-by-nc", "licensed under [a] [the] creative commons attribution non commercial [4 0] [international]"),
     ("cc-by-nc", "licensed under [a] [the] creative commons attribution noncommercial [4 0] [international]"),
@@ -205,3 +207,36 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
 
     fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return map_texts(docs, ["doc_id"], fields, make)
+
+
+def _regex(wording: str) -> str:
+    """Markup as a regular expression over words that each follow a space."""
+    parts = {"[": "(?:", "]": ")?"}
+    tokens = re.findall(r"[\[\]]|\{\d+\}|[^\s\[\]{}]+", wording)
+    return "".join(parts.get(t) or (f"(?: [^ ]+){{0,{t[1:-1]}}}" if t[0] == "{" else f" {t}") for t in tokens) + " "
+
+
+def oracle_sql(base=BASE, templates=TEMPLATES) -> str:
+    """The same by regular expressions over the words, joined by spaces."""
+    automaton = Automaton(tuple(base) + tuple(templates))
+    everything = [(label, _regex(wording), must) for (label, wording), must in zip((*base, *templates), automaton.mandatory)]
+    spots = " union all ".join(
+        f"select r, '{label}' as label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) as place from words" for label, p in base
+    )
+    marks = " union all ".join(f"select r, '{label}' as label, {must} as must from words where regexp_matches(j, '{pattern}')" for label, pattern, must in everything)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with words as (
+  select *, ' ' || array_to_string(w, ' ') || ' ' as j from (
+    select row_number() over () as r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents)),
+spots as ({spots}),
+marks as ({marks}),
+b as (select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from spots group by r),
+m as (select r, string_agg(distinct label, ',' order by label) as labels, max(must) as must from marks group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, case when must is null then 0.0 else 1.0 - pow(0.5, must / 2.0) end::double as score
+from words left join b using (r) left join m using (r)"""
+
+
+ORACLE = oracle_sql()

@@ -20,6 +20,7 @@ import hashlib
 import ipaddress
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -114,7 +115,10 @@ HINTS = {
     "iban": ("iban", "account", "bank", "transfer"),
     "secret": ("token", "key", "secret", "password", "passwd", "pwd", "bearer", "auth"),
 }
-AGAINST = ("version", "isbn", "order", "part", "page", "date", "price", "serial", "build", "commit", "sha", "uuid", "invoice", "no.")
+AGAINST = ("md5", "checksum", "digest", "etag", "trace", "request", "version", "isbn", "order", "part", "page", "date", "price", "serial", "build", "commit", "sha", "uuid", "invoice", "no.")
+
+#: How keys of well-known services begin.
+ISSUED = ("sk-", "AKIA", "ghp_", "xoxb-")
 
 
 def proposals(text: str) -> list[Span]:
@@ -166,6 +170,9 @@ def features(text: str, span: Span) -> list[float]:
         _kind_of(right[:1]),
         _mod97(body) if kind == "iban" else 0.0,
         sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:])) / n,
+        float(body.startswith(ISSUED)),
+        float(groups == [8, 4, 4, 4, 12]),
+        float(groups == [3, 2, 4]),
     ]
 
 
@@ -199,27 +206,34 @@ def examples(n: int = 6000, seed: int = SEED):
             "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}", "{}{}{}", "({}){}{}")).format(number(3), number(3), number(4)),
             "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}",
             "iban": lambda: iban(True),
-            "secret": lambda: r.choice((hexes(r.choice((32, 40, 64))), hexes(r.randint(24, 48), alnum), "sk-" + hexes(32, alnum))),
+            "secret": lambda: r.choice((hexes(r.choice((32, 40, 64))), hexes(r.randint(24, 48), alnum), issued(), issued())),
         }[kind]()
 
+    def issued():
+        """A key whose first characters say who gave it out."""
+        return r.choice(("sk-" + hexes(32, alnum), "AKIA" + hexes(16, alnum[:26] + "234567"), "ghp_" + hexes(36, alnum), "xoxb-" + number(11) + "-" + hexes(24, alnum)))
+
     def bad(kind):
         return {
             "email": lambda: f"{word()} (at) {word()}. {word()}",
             "ip": lambda: r.choice((":".join(number(2) for _ in range(8)), f"{hexes(1, 'abcdef')}::{hexes(1, 'abcdef')}", f"{hexes(3, 'abcdef')}::{hexes(4, 'abcdef')}", f"{number(2)}::{number(2)}")),
-            "phone": lambda: r.choice((number(10), f"1{number(9)}", f"{number(2)}.{number(2)} {number(2)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)} {number(4)}", f"{number(4)} {number(2)} {number(2)}", f"{number(2)} {number(2)} {number(2)}")),
+            "phone": lambda: r.choice((number(10), f"1{number(9)}", f"{number(2)}.{number(2)} {number(2)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)} {number(4)}", f"{number(4)} {number(2)} {number(2)}", f"{number(2)} {number(2)} {number(2)}", f"{number(3)}-{number(2)}-{number(4)}", f"{number(3)}-{number(2)}-{number(4)}")),
             "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}",
             "iban": lambda: r.choice((iban(False), f"AB{number(2)} {number(4)} {number(4)}")),
-            "secret": lambda: r.choice((f"{word()}_{word()}_{word()}_{number(2)}", f"{word()}-{word()}-{word()}-{number(4)}", number(16), f"{word()}{word()}{word()}{word()}{number(1)}{word()}")),
+            "secret": lambda: r.choice((f"{word()}_{word()}_{word()}_{number(2)}", f"{word()}-{word()}-{word()}-{number(4)}", number(16), f"{word()}{word()}{word()}{word()}{number(1)}{word()}", hexes(r.choice((32, 40, 64))), "-".join(hexes(k) for k in (8, 4, 4, 4, 12)), "-".join(hexes(k) for k in (8, 4, 4, 4, 12)))),
         }[kind]()
 
+    #: how often words speak for personal data, and against what only looks like it; a few speak wrongly
+    said_for, said_against, wrongly = {"ssn": 0.8, "secret": 0.95}, {"ssn": 0.9, "secret": 0.7}, 0.03
     kinds = list(dict.fromkeys(kind for kind, _ in GENERATORS))
     while n:
         kind, positive = r.choice(kinds), r.random() < 0.5
         body = good(kind) if positive else bad(kind)
-        hinted = positive and (r.random() < 0.6 or kind == "ssn")
+        known = body.startswith(ISSUED)
+        hinted = r.random() < (0.5 if known else said_for.get(kind, 0.6)) if positive else r.random() < wrongly
         lead = f"{r.choice(HINTS[kind])}{r.choice((':', ' =', ' is', ''))} " if hinted else ""
-        against = not positive and (r.random() < 0.6 or kind == "ssn")
-        lead = f"{r.choice(AGAINST)} " if against else lead
+        if not positive and not hinted and r.random() < said_against.get(kind, 0.6):
+            lead = f"{r.choice(AGAINST)} "
         quote = '"' if r.random() < 0.3 else ""
         before = f"{words(r.randint(2, 8))} {lead}{quote}"
         text = f"{before}{body}{quote}{r.choice(('.', ',', ' ', ''))} {words(3)}"
@@ -256,19 +270,40 @@ class Selector:
 
     def chosen(self, text: str, base: list[Span]) -> list[Span]:
         """Proposed spans that pass and overlap neither base spans nor better ones."""
-        found = proposals(text)
-        found = [s for s in found if all(s[2] <= b[1] or s[1] >= b[2] for b in base)] if base else found
+        held = Apart()
+        for _, start, end in sorted(base, key=lambda s: s[1:]):
+            held.add(start, end)
+        found = [s for s in proposals(text) if held.free(s[1], s[2])]
         if not found:
             return []
         p = self._p(self.trees.margin(np.array([features(text, s) for s in found])))
         taken: list[Span] = []
         for k in sorted(range(len(found)), key=lambda k: (-p[k], found[k][1], ORDER[found[k][0]])):
-            s = found[k]
-            if p[k] >= self.threshold.get(s[0], 1.1) and all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
-                taken.append(s)
+            kind, start, end = found[k]
+            if p[k] >= self.threshold.get(kind, 1.1) and held.free(start, end):
+                held.add(start, end)
+                taken.append(found[k])
         return taken
 
 
+class Apart:
+    """Stretches in their order, those that overlap as one; each question is a search by halves."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return (at == 0 or self.ends[at - 1] <= start) and (at == len(self.starts) or self.starts[at] >= end)
+
+    def add(self, start: int, end: int) -> None:
+        low, high = bisect_left(self.ends, start + 1), bisect_left(self.starts, end)
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in sorted(spans, key=lambda s: (s[1], ORDER[s[0]])))
 

@@ -5,6 +5,7 @@ Files are made from the test tables first, as no table is a delimited file.
 
 from __future__ import annotations
 
+import io
 import zipfile
 from xml.etree import ElementTree
 
@@ -76,10 +77,11 @@ def csv_one_timestamp(spark, sf_dir):
     return df.select(F.col(name).cast("timestamp_ntz").alias("posted"), "event_type")
 
 
-def _sheet(path: str) -> list[list[str]]:
+def _sheet(spark: SparkSession, path: str) -> list[list[str]]:
     """The cells of a workbook's first sheet, as text."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(path) as z:
+    raw = spark.read.format("binaryFile").load(path).first().content
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
         root = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
     return [["".join(c.itertext()) for c in row.iter(f"{space}c")] for row in root.iter(f"{space}row")]
 
@@ -87,15 +89,15 @@ def _sheet(path: str) -> list[list[str]]:
 def export_formats(spark, sf_dir):
     """A project of nations, saved, exported in every format under its labels, and read back."""
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    store = Store(spark, scratch_path(spark).removeprefix("file://"))
+    store = Store(spark, scratch_path(spark))
     project = store.create("Nations of the World", nations)
     store.save(project.id, "nations", {"names": store.input(project.id)})
     made = {x: store.export(project.id, "nations", "names", x, {"n_name": "Nation Name"}) for x in ("parquet", "csv", "json", "xlsx")}
-    sheet = _sheet(made["xlsx"])
+    sheet = _sheet(spark, made["xlsx"])
     back = {
         "parquet": spark.read.parquet(made["parquet"]),
-        "csv": spark.read.csv(f"file://{made['csv']}", header=True),
-        "json": spark.read.json(f"file://{made['json']}", multiLine=True),
+        "csv": spark.read.csv(made["csv"], header=True),
+        "json": spark.read.json(made["json"], multiLine=True),
         "xlsx": spark.createDataFrame(sheet[1:], ", ".join(f"`{c}` string" for c in sheet[0])),
     }
     rows = [df.select(F.lit(x).alias("format"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "Nation Name") for x, df in back.items()]

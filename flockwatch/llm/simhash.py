@@ -6,13 +6,15 @@ for each block of two neighbouring bits. The distances say how many bits a finge
 set in each block, and by the triangle inequality two fingerprints within `radius` bits
 have distances to every pivot that differ by at most `radius`.
 
-Search: a table joins fingerprints on a group of coordinates (distances relative to the
-empty pivot). `radius` differing bits touch at most `radius` blocks, so with more groups
-than that some groups agree: over one lane of 64 bits, four groups of eight blocks and two
-bits, every near pair agrees on two groups, hence in one of six tables - nothing is
-missed. Pairs in a cell whose distances to any pivot differ by more than the radius are
+Search: a table joins fingerprints on groups of coordinates (distances relative to the
+empty pivot). Two differing bits touch at most two blocks, so of g groups of blocks all but
+two agree, and with one table for each choice of g - 2 groups nothing is missed. Four groups
+(six tables) do for some 10^8 fingerprints; more fingerprints take more groups, so keys widen and
+cells stay small. Pairs in a cell whose distances to any pivot differ by more than the radius are
 discarded, survivors are verified by their Hamming distance, and a cell passes on one star
-for each component in it, never all pairs.
+for each component in it, never all pairs. Fingerprints of cells that are large all the same
+(`LARGE`) are linked across tasks, by way of the fingerprints between: each one and its 64
+neighbours make 65 rows, two within two bits share one of these, and no value is shared by more than 65.
 
 The pipeline's near copies are documents whose sets of five-word shingles have a Jaccard
 similarity of `SIMILAR` or more. Fingerprints (four lanes, of the different shingles) only
@@ -24,9 +26,7 @@ the number of documents. The order puts shingles last that are common in a sampl
 passages which many documents have don't bring them together; it decides the cost only.
 
 Scale: equal fingerprints are one row before any search, so a group of copies costs
-nothing; each fingerprint gives one small row a table, in the pipeline one for each fifth word. Cells too large to compare by
-windows (`WINDOW`) are linked exactly, for radius 2, through the fingerprints between
-(each and its 64 neighbours), in time linear in the cell, in passes of bounded memory.
+nothing; each fingerprint gives one small row a table, in the pipeline one for each fifth word.
 
 Defined results: texts without words, null ones too, have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle is one shingle; a null doc_id gets its
@@ -39,7 +39,7 @@ import tempfile
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, cut, map_texts, row_key, small_batches, take_rows
@@ -49,8 +49,8 @@ SEED = 42
 SIMILAR = (4, 5)  # Jaccard similarity of near copies in the pipeline, as a fraction
 #: Shingles of one group that a task holds in memory, and that it compares at once; beyond that they wait in a file.
 HELD_SHINGLES, AT_ONCE = 4_000_000, 1_000_000
-MATRIX, WINDOW = 512, 4096
-SMALL_CELL = 64
+#: Members of a cell: so many that are expected, compared as one matrix, by windows, and at most in one task.
+CELL, SMALL_CELL, MATRIX, LARGE = 16, 64, 512, 5000
 #: Documents (and shingles of each) that tell which shingles are common, in how many of them, and how many shingles at most are held to be so.
 SAMPLE, SAMPLE_SHINGLES, SEEN, COMMON = 20_000, 2000, 3, 200_000
 BLOCKS = 32  # of two bits, a lane
@@ -109,12 +109,17 @@ def distances(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return zero, np.concatenate(table, 1).astype(np.int16)
 
 
-def tables(lanes: int) -> list[list[int]]:
-    """Groups of blocks that tables join on, for fingerprints of one lane within two bits."""
+def tables(lanes: int, n: int = 0) -> list[list[int]]:
+    """Groups of blocks that tables join on, for `n` fingerprints of one lane within two bits.
+
+    A block's coordinate has 1.5 bits of entropy; there are as many groups as leave some `CELL`
+    fingerprints in a cell, ten at most.
+    """
     if lanes != 1:
         raise ValueError("wider fingerprints are joined on shingles")
-    quarters = [list(range(k, BLOCKS, 4)) for k in range(4)]
-    return [a + b for a, b in combinations(quarters, 2)]
+    many = next((g for g in range(4, 10) if n <= CELL * 2 ** (1.5 * BLOCKS * (g - 2) / g)), 10)
+    groups = [list(range(k, BLOCKS, many)) for k in range(many)]
+    return [sum(chosen, []) for chosen in combinations(groups, many - 2)]
 
 
 def first_shingles(h: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -153,8 +158,6 @@ def cell_stars(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     if n <= SMALL_CELL:
         near = np.bitwise_count(lanes[:, None] ^ lanes).sum(2, dtype=np.int16) <= radius
         pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))))
-    elif n > WINDOW and radius == 2 and lanes.shape[1] == 1:
-        pairs = _between(lanes[:, 0])
     elif n > MATRIX:
         return _walk(lanes, radius)
     else:
@@ -217,22 +220,12 @@ def _walk(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _between(fp: np.ndarray):
-    """Pairs that span the same components as all pairs within two bits: those that share a neighbour."""
-    flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-    passes = 1 << max(0, (len(fp) * 65 // 4_000_000).bit_length())
-    for part in range(passes):
-        keys, owner = [], []
-        for flip in flips:
-            x = fp ^ flip
-            mine = np.flatnonzero((x * np.uint64(MIX[0]) >> np.uint64(40)) % np.uint64(passes) == part)
-            keys.append(x[mine])
-            owner.append(mine)
-        key, own = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        same = np.flatnonzero(key[1:] == key[:-1])
-        yield from zip(own[same].tolist(), own[same + 1].tolist())
+def between(prints: DataFrame) -> DataFrame:
+    """Links (u, v) that span the same components as all pairs of `prints` (node, f0) within two bits."""
+    flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), k) for k in range(64)])
+    near = prints.select("node", F.explode(flips).alias("flip"), "f0").select("node", F.col("f0").bitwiseXOR(F.col("flip")).alias("value"))
+    least = F.min("node").over(Window.partitionBy("value"))
+    return near.select(F.col("node").alias("u"), least.alias("v")).where("u != v")
 
 
 def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
@@ -244,7 +237,7 @@ def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
     spark = prints.sparkSession
     small_batches(spark)
     shared = ["tokens"] if "tokens" in prints.columns else []
-    groups = [] if shared else tables(lanes)
+    groups = [] if shared else tables(lanes, prints.count())
     columns = [f"f{k}" for k in range(lanes)]
 
     def keys(batches):
@@ -310,7 +303,16 @@ def link(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
 
     schema = "t int, key long, node long, " + ", ".join(f"{c} long" for c in columns)
     met = prints.select("node", *columns, *shared).mapInArrow(keys, schema)
-    return met.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(stars, "u long, v long")
+    if shared:
+        return met.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(stars, "u long, v long")
+    met = cut(met)
+    large = cut(met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("t", "key"))
+    more = None
+    if large.head(1):
+        more = between(met.join(large, ["t", "key"], "left_semi").select("node", "f0").distinct())
+        met = met.join(large, ["t", "key"], "left_anti")
+    found = met.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(stars, "u long, v long")
+    return found if more is None else found.union(more)
 
 
 def near_groups(docs: DataFrame, keep: list[str], words: int = 3, radius: int = 2) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -148,7 +149,7 @@ def test_simhash(docs):
     assert all(c == least.get(root[int(f, 16)]) for (_, f), c in got.items())
 
 
-def test_simhash_links_every_cell_size():
+def test_simhash_links_every_cell_size(spark, monkeypatch):
     r = random.Random(3)
     centers = [r.getrandbits(64) for _ in range(25)]
     prints = set()
@@ -159,8 +160,27 @@ def test_simhash_links_every_cell_size():
         prints.add(x)
     fp = np.array(sorted(prints), dtype=np.uint64)
     want = groups([(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 2) if i < j], range(len(fp)))
-    for pairs in (simhash._windows(fp[:, None], 2), simhash._between(fp), simhash._walk(fp[:, None], 2)):
+    for pairs in (simhash._windows(fp[:, None], 2), simhash._walk(fp[:, None], 2)):
         assert groups(pairs, range(len(fp))) == want
+    df = spark.createDataFrame([(i, int(x) - (1 << 64) * (int(x) >> 63)) for i, x in enumerate(fp)], "node long, f0 long")
+    assert groups([tuple(r) for r in simhash.between(df).collect()], range(len(fp))) == want
+    for large in (2, 20_000):  # all cells across tasks, and none
+        monkeypatch.setattr(simhash, "LARGE", large)
+        assert groups([tuple(r) for r in simhash.link(df, 1, 2).collect()], range(len(fp))) == want
+
+
+@pytest.mark.parametrize("n", [1000, 10**9, 10**11, 10**13])
+def test_simhash_tables_miss_nothing_at_any_size(n):
+    made = simhash.tables(1, n)
+    touched = [set(pair) for pair in itertools.combinations(range(simhash.BLOCKS), 2)]
+    assert all(any(not blocks & set(t) for t in made) for blocks in touched)
+    assert max(map(len, made)) * math.log2(3) < 63 and n / 2 ** (1.5 * min(map(len, made))) < 5000
+
+
+def test_simhash_more_groups(spark, docs, monkeypatch):
+    plain = simhash.tables
+    monkeypatch.setattr(simhash, "tables", lambda lanes, n=0: plain(lanes, 10**11))
+    test_simhash(docs)
 
 
 def test_simhash_tables_miss_nothing():

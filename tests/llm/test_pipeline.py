@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from flockwatch.llm import quality
+from flockwatch.llm import mixing, quality
 from flockwatch.llm.common import cut, take_rows
 
 from .conftest import rows
@@ -80,6 +80,70 @@ def test_take_rows_names_and_ties(spark):
         assert [tuple(r) for r in take_rows(df.repartition(3), keys).collect()] == [(1, "a", "keepme", "k1", "t", "b")]
 
 
+def brute_stages(data):
+    """The rows after each stage but the classifier, in plain Python (the mix by its SQL, the codec by the public library); data has no rejected rows."""
+    import duckdb
+    import pandas as pd
+    import public_tokenizers
+    import sentencepiece
+
+    best = {}
+    for row in data:  # exact copies: the largest doc_id stays, null below any
+        text = row.text or ""
+        if text not in best or (row.doc_id is not None and (best[text].doc_id is None or row.doc_id > best[text].doc_id)):
+            best[text] = row
+    exact = list(best.values())
+    yield exact
+
+    def shingles(row):
+        words = (row.text or "").encode().lower().split()
+        return frozenset(zip(*(words[k:] for k in range(5)))) if len(words) > 5 else frozenset([tuple(words)] if words else [])
+
+    sets = [shingles(r) for r in exact]
+    root = list(range(len(exact)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(exact)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    kept = {}
+    for i, row in enumerate(exact):
+        k = find(i)
+        if k not in kept or (row.doc_id is None, row.doc_id or 0) < (kept[k].doc_id is None, kept[k].doc_id or 0):
+            kept[k] = row
+    near = list(kept.values())
+    yield near
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([r.doc_id for r in near], "Int64"), "text": [r.text for r in near], "source": [r.source for r in near]}))
+    taken = {i: (n, size) for i, n, size in con.execute(f"select doc_id, taken, size from ({mixing.ORACLE})").fetchall()}
+    mix = [r for r in near for n, size in [taken[r.doc_id]] if size for _ in range(int(n / size + 0.5))]
+    yield mix
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    yield [(r.doc_id, tuple(model.encode(r.text or ""))) for r in mix]
+
+
+def test_stages_brute_force(spark, docs):
+    """From the classifier's output on, each stage against plain Python."""
+    now = cut(corpus_pipeline.keep_good(spark, docs, ""))
+    want = brute_stages(now.collect())
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        now = cut(stage(spark, now, ""))
+        expected = next(want)
+        assert Counter(map(key, now.collect())) == Counter(map(key, expected))
+    last = corpus_pipeline.STAGES[4][1](spark, now, "").collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last) == Counter(next(want))
+
+
+def test_quality_stage_takes_any_names(spark):
+    df = spark.createDataFrame([(1, "The dog and the cat were in the house, and it was good. " * 3, "x", "y")], "doc_id long, text string, _quality_kept string, __quality_votes string")
+    assert corpus_pipeline.keep_good(spark, df, "").columns == df.columns
+
+
 def test_run(spark):
     made = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert made.count() > 0 and "ids" in made.columns

@@ -2,7 +2,7 @@
 
 Base spans follow four patterns exactly (email, ip, card, phone) and always stay. Further
 generators, tuned to miss nothing, propose overlapping spans in other formats; trees that
-are trained here on drawn examples score each by its format and by the words around it,
+are trained here on drawn examples, many of which only the words around them decide, score each by its format and by these words,
 a logistic curve through held-out margins turns scores into probabilities, and each kind
 has a threshold that keeps held-out precision at `PRECISION` or more.
 
@@ -11,7 +11,8 @@ fixed seed. Every pattern is walked in one pass, so a text of any length costs t
 proportion. Only texts that hold a digit, an at sign or two colons are looked at closely.
 
 Defined results: a null or empty text has no spans; the digest is then that of no bytes.
-Chosen spans that overlap a base span or an earlier chosen span of higher probability go.
+Chosen spans that overlap a base span or an earlier chosen span of higher probability go. A task
+holds a text and its spans whole. Further columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ on the `SAMPLE` different texts of least hash (a documented bound), however ofte
 Scoring has no shuffle; the model is `BINS` numbers.
 
 Defined results: a null or empty text has no votes and scores the prior of EM (it stays if
-most documents do); without documents the prior is one half. Further columns pass through; the query
+most documents do); without documents the prior is one half. A task holds a text whole, and its words. Further columns pass through; the query
 takes columns named like its results only if they are not asked to be kept.
 """
 

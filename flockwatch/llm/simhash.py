@@ -30,7 +30,9 @@ nothing; each fingerprint gives one small row a table, in the pipeline one for e
 
 Defined results: texts without words, null ones too, have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle is one shingle; a null doc_id gets its
-own row and is never the smallest unless its group has no other.
+own row and is never the smallest unless its group has no other. A task holds a text whole, with
+some 20 bytes for each word. The query ignores further columns of the input; the pipeline's stage
+passes them through, whatever their names.
 """
 
 from __future__ import annotations

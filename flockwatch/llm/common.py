@@ -16,7 +16,7 @@ from ..scratch import cut, filesystem, scratch_path, shared_dir
 __all__ = ["cut", "scratch_path", "shared_dir"]
 
 #: Rows and bytes of an Arrow batch that a Python worker holds at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _shipped: set[str] = set()
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ROW_KEY, arrow_batch, cut, join_by_size, row_key, scratch_path, small_batches, take_rows, text_of, tidy, utf8
 
 #: Keys of a bucket, entries of the directory, and bytes of texts that a task combines at a time.
-CAPACITY, SLOTS, HELD = 2000, 1 << 16, 32 << 20
+CAPACITY, SLOTS, HELD = 2000, 1 << 16, 16 << 20
 
 
 @dataclass(frozen=True)

@@ -49,9 +49,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, RANKED = 1, 2
 #: Pairs of pieces whose weight a process remembers, bytes of text that are encoded together, and characters of a stretch composed in step.
-KEEP_PAIRS, AT_ONCE, IN_STEP = 2_000_000, 4 << 20, 100
+KEEP_PAIRS, AT_ONCE, IN_STEP = 2_000_000, 1 << 20, 100
 #: Code points below this, and the mark, have a column in the trie's table.
-DENSE = 0x250
+DENSE = 0x100
 #: What a fallback character weighs beyond the dearest piece of a unigram model: a fixed value of the format.
 UNKNOWN_PENALTY = 10.0
 
@@ -297,46 +297,47 @@ class Codec:
         if not stretches:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         texts = [s.decode("utf-8", "replace") for s in stretches]
-        sizes = np.array([len(t) for t in texts])
+        sizes = np.array([len(t) for t in texts], dtype=np.int32)
         symbols = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)]
-        begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        room = np.repeat(begin + sizes, sizes) - np.arange(len(symbols))  # characters left, this one included
+        begin = np.cumsum(sizes, dtype=np.int32) - sizes
+        each = np.arange(len(texts), dtype=np.int32)
+        owner = np.repeat(each, sizes)
+        room = np.repeat(begin + sizes, sizes) - np.arange(len(symbols), dtype=np.int32)  # characters left, this one included
         # arcs: the trie is walked from every place at once
-        place, state, arcs = np.arange(len(symbols)), np.ones(len(symbols), dtype=np.int32), []
+        place, state, arcs = np.arange(len(symbols), dtype=np.int32), np.ones(len(symbols), dtype=np.int32), []
         step = 0
         while len(place):
             state = self.moves[state, symbols[place + step]]
             step += 1
             piece = self.piece_of[state]
             ends = (state > 0) & (piece >= 0)
-            arcs.append((place[ends], np.full(ends.sum(), step), piece[ends]))
+            arcs.append((place[ends], np.full(ends.sum(), step, dtype=np.int32), piece[ends]))
             on = (state > 0) & (state < self.inner) & (room[place] > step)
             place, state = place[on], state[on]
         place, long, piece = (np.concatenate(x) for x in zip(*arcs))
         offset = place - begin[owner[place]]
-        order = np.argsort(offset, kind="stable")
+        order = np.argsort(offset.astype(np.int16), kind="stable")  # offsets are under IN_STEP
         place, long, piece = place[order], long[order], piece[order]
         bounds = np.searchsorted(offset[order], np.arange(sizes.max() + 1))
         # relaxation: a stretch has a node for each place and one for its end
         nodes = len(symbols) + len(texts)
-        least, last, back = np.full(nodes, np.inf), np.zeros(nodes, dtype=np.int64), np.zeros(nodes, dtype=np.int64)
-        least[begin + np.arange(len(texts))] = 0.0
+        least, last, back = np.full(nodes, np.inf), np.zeros(nodes, dtype=np.int32), np.zeros(nodes, dtype=np.int32)
+        least[begin + each] = 0.0
         doubtful = np.zeros(len(texts), dtype=bool)
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = owner[place[a:b]]
-            u, x = place[a:b] + own, piece[a:b].astype(np.int64)
+            u, x = place[a:b] + own, piece[a:b]
             v = u + long[a:b]
             on = least[u] < np.inf
             if self.ranked:
-                on[on] = self.passes(last[u[on]] << 32 | x[on] + 1)
+                on[on] = self.passes(last[u[on]].astype(np.int64) << 32 | x[on] + 1)
                 doubtful[own[on & (least[v] < np.inf)]] = True
             total = least[u] + self.weights[x]
             on &= total < least[v]  # arcs from places at one distance end at different nodes
             least[v[on]], last[v[on]], back[v[on]] = total[on], x[on] + 1, u[on]
-        final = begin + sizes + np.arange(len(texts))
+        final = begin + sizes + each
         mine = np.flatnonzero((least[final] < np.inf) & ~doubtful)
-        at, first, found = final[mine], (begin + np.arange(len(texts)))[mine], []
+        at, first, found = final[mine], (begin + each)[mine], []
         while len(mine):
             found.append((mine, last[at] - 1))
             at = back[at]

@@ -121,10 +121,31 @@ def surrogate_ids(spark, sf_dir):
     return numbered(_table(spark, sf_dir, "nation"), "place").select("place", "n_nationkey")
 
 
+def _in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """The order of a sorted result, as a number of its own."""
+    return df.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("nth"), *columns)
+
+
 def minute_buckets_in_order(spark, sf_dir):
-    """The order of the buckets, as a number of its own."""
-    made = timeofday.minute_buckets(_posts(spark, sf_dir), 15)
-    return made.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("nth"), "time_interval", "count")
+    return _in_order(timeofday.minute_buckets(_posts(spark, sf_dir), 15), "time_interval", "count")
+
+
+def intervals_in_order(spark, sf_dir):
+    made = REGISTRY.primary("temporal").run(_posts(spark, sf_dir))["interval_count"]
+    return _in_order(made, "time_interval_start", "time_interval_end", "count")
+
+
+def pairs_in_order(spark, sf_dir):
+    made = REGISTRY.primary("time_coordination").run(_posts(spark, sf_dir))["cooccurrence_frequency"]
+    return _in_order(made, "user_id_1", "user_id_2", "cooccurrence_count")
+
+
+def summary_in_order(spark, sf_dir):
+    return _in_order(ngram_summary(spark, sf_dir), "n", "total_reps", "distinct_posters", "ngram_id")
+
+
+def report_in_order(spark, sf_dir):
+    return _in_order(ngram_report(spark, sf_dir), "n", "total_reps", "distinct_posters", "reps_per_user", "user_id", "message_surrogate_id", "ngram_id")
 
 
 def input_head(spark, sf_dir):
@@ -136,7 +157,8 @@ QUERIES = {
     for f in (
         temporal_interval_count, temporal_minute_buckets, temporal_bars, temporal_peak, time_coordination, hashtag_gini,
         ngram_message_counts, ngram_defs, ngram_ids, ngram_message_ids, ngram_stats, ngram_full, ngram_summary, ngram_report, ngram_scatter, scan_count, preprocess_projection,
-        export_rename, filter_not_blank, surrogate_ids, minute_buckets_in_order, input_head,
+        export_rename, filter_not_blank, surrogate_ids, minute_buckets_in_order, intervals_in_order, pairs_in_order,
+        summary_in_order, report_in_order, input_head,
     )
 } | source_queries.QUERIES
 
@@ -222,5 +244,13 @@ from ({_report})""",
 select row_number() over (order by b) as nth, strftime(timestamp '2024-01-01' + b * interval 15 minute, '%H:%M') || '-' ||
        strftime(timestamp '2024-01-01' + (b + 1) * interval 15 minute, '%H:%M') as time_interval, "count"
 from (select (hour(ts) * 60 + minute(ts)) // 15 as b, count(*) as "count" from events where ts is not null group by 1)""",
+    "intervals_in_order": f"select row_number() over (order by time_interval_start) as nth, * from ({_interval})",
+    "pairs_in_order": f"select row_number() over (order by cooccurrence_count desc, user_id_1, user_id_2) as nth, * from ({_pairs})",
+    "summary_in_order": _grams
+    + _ids
+    + """select row_number() over (order by n desc, total_reps desc, distinct_posters desc, ngram_id) as nth, n, total_reps, distinct_posters, ngram_id
+from st join ids using (words, n)""",
+    "report_in_order": f"""select row_number() over (order by n desc, total_reps desc, distinct_posters desc, reps_per_user desc, user_id, message_surrogate_id, ngram_id) as nth,
+  n, total_reps, distinct_posters, reps_per_user, user_id, message_surrogate_id, ngram_id from ({_report})""",
     "input_head": "select * from nation order by n_nationkey limit 5",
 } | source_queries.ORACLES

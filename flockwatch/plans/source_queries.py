@@ -12,7 +12,9 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import shortened
 from ..operators import semantics
+from ..operators.rows import numbered, preprocess
 from ..scratch import scratch_path
 from ..sources import delimited, importers
 from .analyses import REGISTRY
@@ -140,6 +142,40 @@ def semantic_kinds(spark, sf_dir):
     return _found(spark, "probe", _probe(spark, sf_dir))
 
 
+def datetime_conversion(spark, sf_dir):
+    """Times given as text in two forms, as seconds and as milliseconds, each converted by what it is inferred to be."""
+    probe = _probe(spark, sf_dir).select("number", "posted_text", "posted_iso", "posted_s", "posted_ms")
+    found = semantics.infer(probe)
+    return preprocess(probe, {c: c for c in probe.columns}, {c: found[c].convert(F.col(c)) for c in probe.columns})
+
+
+def store_projects(spark, sf_dir):
+    """Projects by display name; two of one name get ids of their own."""
+    regions = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    store = Store(spark, scratch_path(spark))
+    for r in regions.orderBy("r_regionkey").collect():
+        store.create(f"{r.r_name} (posts)", regions.where(F.col("r_regionkey") >= r.r_regionkey))
+    store.create("Once more", regions.limit(0))
+    store.create("Once more", regions.limit(0))
+    rows = [(p.id, p.display_name, store.row_count(p.id)) for p in store.projects()]
+    return spark.createDataFrame(rows, "id string, display_name string, num_rows long")
+
+
+def preview_cells(spark, sf_dir):
+    """What a preview shows of the first rows."""
+    rows = _table(spark, sf_dir, "pages").orderBy("page_id").limit(20).select("page_id", "url", "html").collect()
+    shown = [tuple(shortened(x) for x in r) for r in rows]
+    return spark.createDataFrame(shown, "page_id string, url string, html string")
+
+
+def surrogate_ids_of_files(spark, sf_dir):
+    """Numbers over two files of unequal size, the small one first."""
+    events, at = _table(spark, sf_dir, "events").select("event_id"), scratch_path(spark)
+    events.where("event_id < 10").coalesce(1).write.parquet(f"{at}/a")
+    events.where("event_id >= 10").coalesce(1).write.parquet(f"{at}/b")
+    return numbered(spark.read.parquet(f"{at}/a", f"{at}/b"), "place")
+
+
 def column_automap(spark, sf_dir):
     rows = []
     columns = {c: s.data_type for c, s in semantics.infer(_table(spark, sf_dir, "events")).items()}
@@ -152,7 +188,8 @@ def column_automap(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_import, csv_preview, csv_dialect, csv_ragged, csv_one_timestamp, export_formats, semantic_inference, semantic_kinds, column_automap,
+        csv_import, csv_preview, csv_dialect, csv_ragged, csv_one_timestamp, export_formats, store_projects, preview_cells, surrogate_ids_of_files,
+        semantic_inference, semantic_kinds, datetime_conversion, column_automap,
     )
 }
 
@@ -221,6 +258,18 @@ select case when c_custkey % 13 = 0 and c_custkey >= 200 then null else c_custke
        case when c_custkey % 11 = 0 then null else c_nationkey::bigint end as nation from customer""",
     "csv_one_timestamp": "select date_trunc('second', ts) as posted, event_type from events",
     "export_formats": """select format, n_nationkey::bigint as n_nationkey, n_name as "Nation Name" from nation, (values ('parquet'), ('csv'), ('json'), ('xlsx')) t(format)""",
+    "store_projects": r"""
+select trim(regexp_replace(lower(r_name || ' (posts)'), '\W+', '_', 'g'), '_') as id, r_name || ' (posts)' as display_name,
+       (select count(*) from region b where b.r_regionkey >= a.r_regionkey) as num_rows from region a
+union all select 'once_more' || n, 'Once more', 0 from (values (''), ('_1')) t(n)""",
+    "preview_cells": """
+with c as (select page_id::varchar as page_id, url, html from pages order by pages.page_id limit 20)
+select page_id, case when url is null then '(N/A)' when length(url) <= 20 then url else url[1:20] || '...' end as url,
+       case when html is null then '(N/A)' when length(html) <= 20 then html else html[1:20] || '...' end as html from c""",
+    "surrogate_ids_of_files": "select event_id, row_number() over (order by event_id >= 10, event_id) as place from events",
+    "datetime_conversion": """
+select event_id as number, date_trunc('minute', ts) as posted_text, date_trunc('second', ts) as posted_iso, date_trunc('second', ts) as posted_s,
+       date_trunc('second', ts) as posted_ms from events""",
     "semantic_inference": f"""select table_name, column_name, semantic, data_type from (
 {_inference_sql('events', 'events', _events)} union all {_inference_sql('documents', 'documents', _documents)} union all {_inference_sql('pages', 'pages', _pages)})""",
     "semantic_kinds": f"select table_name, column_name, semantic, data_type from ({_inference_sql('probe', _probe_sql, _probe_columns)})",

@@ -7,7 +7,7 @@ import pytest
 
 from flockwatch.functions.text import shortened, slug
 from flockwatch.operators import semantics
-from flockwatch.plans.analyses import REGISTRY, Analysis, CycleError, Registry, UnmappedInputs, bind, run
+from flockwatch.plans.analyses import REGISTRY, Analysis, CycleError, InputColumn, Registry, UnmappedInputs, bind, run
 from flockwatch.plans.store import Store, VersionError, export_name, write_file
 from flockwatch.sources import delimited, importers
 
@@ -104,6 +104,37 @@ def test_run_end_to_end(spark, tmp_path):
         bind(store.input("my_data").select("author"), REGISTRY.primary("ngrams"))
 
 
+def test_analyses_are_given_options_and_a_context(spark):
+    df = spark.createDataFrame([("u", datetime(2024, 1, 1, 10))], "user_id string, timestamp timestamp_ntz")
+    seen = {}
+
+    def base(df, context, factor=1):
+        seen["base"] = context
+        df.write.parquet(f"{context.temp_dir}/kept")
+        return {"t": context.spark.read.parquet(f"{context.temp_dir}/kept").selectExpr(f"count(*) * {factor} as n")}
+
+    def more(base, before, context):
+        return {"t": base["t"].union(before["t"])}
+
+    made = Registry().add(
+        Analysis("b", "b", (), base, (InputColumn("timestamp", "datetime", "t"),)),
+        Analysis("first", "first", (), lambda base: base, base="b"),
+        Analysis("second", "second", (), more, base="b", depends_on=("first",)),
+    )
+    out = run(made, df, "b", options={"b": {"factor": 5}})
+    assert [r.n for r in out["second"]["t"].collect()] == [5, 5] and seen["base"].analysis.id == "b"
+
+
+def test_store_waits_for_its_lock(spark, tmp_path, monkeypatch):
+    from flockwatch.plans import store
+
+    monkeypatch.setattr(store, "LOCK_SECONDS", 1)
+    made = Store(spark, str(tmp_path / "s"))
+    made.files.write(f"{made.root}/db.lock", "")
+    assert made.create("A", spark.range(1)).id == "a"  # the lock is old by the time it is tried again, or taken to be
+    assert made.analyses("a") == [] and made.secondaries("a", "x") == [] and made.outputs("a", "x") == []
+
+
 def test_catalog_version(spark, tmp_path):
     (tmp_path / "db.json").write_text(json.dumps([{"class_": "version", "version": 99}]))
     with pytest.raises(VersionError):

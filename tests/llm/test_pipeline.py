@@ -139,6 +139,34 @@ def test_stages_brute_force(spark, docs):
     assert Counter((r.doc_id, tuple(r.ids)) for r in last) == Counter(next(want))
 
 
+def test_near_copies_of_the_test_table(spark):
+    """Recall and false links on documents with planted near copies, against all pairs that share a shingle: survivors are exactly the brute-force ones."""
+    docs = cut(corpus_pipeline.drop_copies(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ""))
+    sets, holders = {}, {}
+    for r in docs.collect():
+        words = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = frozenset(zip(*(words[k:] for k in range(5)))) if len(words) > 5 else frozenset([tuple(words)] if words else [])
+        for s in sets[r.doc_id]:
+            holders.setdefault(s, []).append(r.doc_id)
+    shared = Counter((a, b) for ids in holders.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
+    near = {p for p, n in shared.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    far = sum(2 * n < len(sets[p[0]]) + len(sets[p[1]]) - n for p, n in shared.items())
+    empty = [i for i, s in sets.items() if not s]
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in [*near, *zip(empty, empty[1:])]:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert len(near) >= 5 and far > 100  # there is something to find, and something to leave alone
+    assert kept == {find(i) for i in sets}
+
+
 def test_quality_stage_takes_any_names(spark):
     df = spark.createDataFrame([(1, "The dog and the cat were in the house, and it was good. " * 3, "x", "y")], "doc_id long, text string, _quality_kept string, __quality_votes string")
     assert corpus_pipeline.keep_good(spark, df, "").columns == df.columns

@@ -15,7 +15,7 @@ from ..scratch import cut
 from .rows import not_blank, numbered
 
 #: Messages whose n-grams are numbered together.
-BLOCK = 1 << 14
+BLOCK = 1 << 10
 #: What n-grams are grouped by, and how many of them are broadcast at most (24 bytes each).
 GRAM = ["h1", "h2", "n"]
 FEW = 2_000_000

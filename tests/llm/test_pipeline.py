@@ -69,6 +69,18 @@ def test_take_rows_repeats(spark):
     assert Counter(map(tuple, take_rows(df, times, "n").collect())) == {(1, "a"): 2, (1, "b"): 2, (None, "c"): 2}
 
 
+def test_join_by_size(spark):
+    """Broadcast for keys with many rows, a shuffle for the rest: together the plain left join."""
+    from flockwatch.llm.common import join_by_size
+
+    data = [(k, i) for k, n in ((1, 500), (2, 3), (3, 1), (None, 2)) for i in range(n)]
+    rows_ = spark.createDataFrame(data, "k long, i long")
+    facts = spark.createDataFrame([(1, 500, "a"), (2, 3, "b"), (9, 1, "c")], "k long, size long, what string")
+    want = Counter(map(tuple, rows_.join(facts.drop("size"), "k", "left").collect()))
+    for share in (2, 1000):
+        assert Counter(map(tuple, join_by_size(rows_, facts, ["k"], "size", share).select("k", "i", "what").collect())) == want
+
+
 def test_take_rows_names_and_ties(spark):
     """Columns named like those of the operator pass through; of rows that differ elsewhere the same one is taken each time."""
     from flockwatch.llm.common import ROW_KEY, row_key

@@ -28,7 +28,7 @@ def hashtag_list(text: Column, none: str = "[]") -> Column:
 
 
 def slug(name: str) -> str:
-    """A file-system name: runs of other characters become one underscore."""
+    """A file-system name (a fixed rule, as stored projects have such names): runs of other characters become one underscore."""
     import re
 
     return re.sub(r"\W+", "_", name.lower()).strip("_")

@@ -27,6 +27,7 @@ passages which many documents have don't bring them together; it decides the cos
 
 Scale: equal fingerprints are one row before any search, so a group of copies costs
 nothing; each fingerprint gives one small row a table, in the pipeline one for each fifth word.
+Groups of more than `GROUP` candidates are compared by blocks, each pair of blocks in a task.
 
 Defined results: texts without words, null ones too, have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle is one shingle; a null doc_id gets its
@@ -51,6 +52,8 @@ SEED = 42
 SIMILAR = (4, 5)  # Jaccard similarity of near copies in the pipeline, as a fraction
 #: Shingles of one group that a task holds in memory, and that it compares at once; beyond that they wait in a file.
 HELD_SHINGLES, AT_ONCE = 4_000_000, 1_000_000
+#: Members of a group of candidates that one task compares with all of another so many.
+GROUP = 1000
 #: Members of a cell: so many that are expected, compared as one matrix, by windows, and at most in one task.
 CELL, SMALL_CELL, MATRIX, LARGE = 16, 64, 512, 5000
 #: Documents (and shingles of each) that tell which shingles are common, in how many of them, and how many shingles at most are held to be so.
@@ -405,8 +408,17 @@ def similar_stars(lanes: np.ndarray, sets: ShingleSets, radius: int) -> list[tup
 
 
 def verified(groups: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Links (u, v) that span the components of similar documents. `groups`: root (of candidates), node, f0.. and its shingles."""
+    """Links (u, v) that span the components of similar documents. `groups`: root (of candidates), node, f0.. and its shingles.
+
+    The members of a group of more than `GROUP` are dealt into blocks, and each pair of blocks meets in a task of its own.
+    """
     columns = [f"f{k}" for k in range(lanes)]
+    groups = cut(groups)
+    large = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    groups = groups.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+    groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = groups.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     def compare(batches):
         import pyarrow as pa
@@ -421,21 +433,23 @@ def verified(groups: DataFrame, lanes: int, radius: int) -> DataFrame:
             )
 
         for batch in batches:
-            root, name = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fp = np.stack([batch.column(k + 2).to_numpy() for k in range(lanes)], 1) if len(root) else None
-            shingles = batch.column(lanes + 2)
-            for k in range(len(root)):
-                if root[k] != at:
+            place = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            name = batch.column(3).to_pylist()
+            fp = np.stack([batch.column(k + 4).to_numpy() for k in range(lanes)], 1) if place else None
+            shingles = batch.column(lanes + 4)
+            for k in range(len(place)):
+                if place[k] != at:
                     if len(node) > 1:
                         yield links()
-                    at, node, prints, sets = root[k], [], [], ShingleSets()
+                    at, node, prints, sets = place[k], [], [], ShingleSets()
                 node.append(name[k])
                 prints.append(fp[k])
                 sets.add(shingles[k].values.to_numpy().view(np.uint64).copy())
         if len(node) > 1:
             yield links()
 
-    dealt = groups.select("root", "node", *columns, "shingles").repartition("root").sortWithinPartitions("root", "node")
+    where = ["root", "low", "high"]
+    dealt = groups.select(*where, "node", *columns, "shingles").repartition(*where).sortWithinPartitions(*where, "node")
     return dealt.mapInArrow(compare, "u long, v long")
 
 

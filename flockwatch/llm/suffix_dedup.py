@@ -44,7 +44,7 @@ LENGTH, GRAM = 400, 128
 PLACE = 23
 STRETCH = 1 << 22
 #: Bytes of segments that one suffix array takes, and that an anchor may have in one task.
-BYTES, ONE_TASK = 400_000, 4_000_000
+BYTES, ONE_TASK = 400_000, 1_000_000
 #: Segments and texts that a task remembers to have met.
 KNOWN = 200_000
 

@@ -349,6 +349,39 @@ def test_suffix_across_tasks(spark, length):
     assert {(x[0], x[2] + i) for x, own in zip(found, runs) for a, b in own for i in range(a, b + 1)} == want
 
 
+@pytest.mark.parametrize("length", [400, 120, 41, 11])
+def test_suffix_segments_of_one_anchor(length):
+    """Segments of one anchor by a suffix array of the anchors' places: what all windows' bytes say."""
+    r, gram = random.Random(length), suffix_dedup.gram_of(length)
+    for alphabet in (b"\0a", bytes(range(256))):
+        common = bytes(r.choices(bytes(range(256)), k=length + length // 4))
+        by_anchor = {}
+        for _ in range(200):
+            text = bytes(r.choices(alphabet, k=r.randrange(length))) + common[r.randrange(length // 4) :] + bytes(r.choices(alphabet, k=r.randrange(length)))
+            if len(text) >= length:
+                for low, high, name in zip(*(x.tolist() for x in suffix_dedup.anchors(text, length))):
+                    by_anchor.setdefault(name, []).append(text[low : high + length])
+        name = max(by_anchor, key=lambda k: len(by_anchor[k]))
+        assert len(by_anchor[name]) > 50
+        got = suffix_dedup.compare_aligned(by_anchor[name], length, gram)
+        count = Counter(s[i : i + length] for s in by_anchor[name] for i in range(len(s) - length + 1))
+        want = [{i for i in range(len(s) - length + 1) if count[s[i : i + length]] > 1} for s in by_anchor[name]]
+        assert [{i for a, b in runs for i in range(a, b + 1)} for runs in got] == want and any(want)
+
+
+def test_suffix_large_anchor_stays_in_a_task(spark, monkeypatch):
+    """An anchor of more than a million bytes needs no sort across tasks, which wrote each of its places several times over."""
+    def refused(*_):
+        raise AssertionError("sorted across tasks")
+
+    r = random.Random(8)
+    line = "".join(r.choices("abcdefgh ", k=600))
+    texts = ["".join(r.choices("xyz ", k=r.randrange(200, 300))) + line + "".join(r.choices("xyz ", k=300)) for _ in range(3000)]
+    monkeypatch.setattr(suffix_dedup, "across_tasks", refused)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 3000 and all(600 <= g.n_removed < 700 and g.n_spans == 1 for g in got)
+
+
 def test_suffix_sift_in_small_batches():
     """However rows are cut into batches, the same ranges and wants come out."""
     import pyarrow as pa

@@ -6,6 +6,7 @@ from itertools import accumulate
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from flockwatch.operators import coordination, hashtags, ngrams, timeofday
 from flockwatch.operators.rows import numbered, preprocess, renamed
@@ -169,3 +170,30 @@ def test_plans_stay_in_the_jvm(spark):
         df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan, name
+
+
+def test_scratch_leaves_no_shuffles_and_releases(spark):
+    """What is shuffled to write a scratch table goes with the write, and tables that are used up go with `release`."""
+    import os
+
+    from flockwatch.scratch import cut, release
+
+    def shuffled():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for top in local for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before = shuffled()
+    table = cut(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    assert not shuffled() - before and table.count() == 1000
+    where = table.inputFiles()[0].split(":", 1)[1].rsplit("/", 1)[0]
+    release(table)
+    assert not os.path.exists("/" + where.lstrip("/"))
+
+
+def test_report_moves_digests_not_texts(spark):
+    """A text of the report is repeated for each of its n-grams, so no join or sort of the query carries it."""
+    from flockwatch.plans import catalog
+
+    plan = catalog.ngram_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    sort = plan.index("Sort [")
+    assert "md5" not in plan[:sort] and "md5" in plan[sort:]

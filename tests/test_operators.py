@@ -197,3 +197,29 @@ def test_report_moves_digests_not_texts(spark):
     plan = catalog.ngram_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     sort = plan.index("Sort [")
     assert "md5" not in plan[:sort] and "md5" in plan[sort:]
+
+
+def test_ngram_numbers_in_passes(spark, monkeypatch):
+    """Small chunks, ranges and passes, odd bytes, long words and order of rows: numbers are still those of the first meeting."""
+    from flockwatch.operators import gram_tables
+
+    for name, value in (("CHUNK", 40), ("WORDS_A_PASS", 60), ("HELD", 16)):
+        monkeypatch.setattr(gram_tables, name, value)
+    long = "w" * 60
+    texts = [f"a b c d{k % 7} é{k % 3} {long}{k % 2} {long}{k % 2} !" if k % 5 else f"-- B a_b {k} c 𝒳 ²" for k in range(80)]
+    texts[7] = "a b c " * 60
+    for order in (1, -1):  # descending ids are sorted into chunks anew
+        rows = [("u", k, t, D(2024, 1, 1)) for k, t in enumerate(texts)]
+        own = ngrams.messages(messages(spark, rows)).orderBy(F.col("message_surrogate_id") * order).coalesce(1)
+        made = gram_tables.Numbered(own, (3, 4, 5))
+        assert made.passes == 6 and made.tasks > 1 and made.chunks.count() > 20
+        ids, counts = {}, Counter()
+        for i, text in enumerate(texts, 1):
+            words = re.split(r"\W+", text.lower())
+            for k in range(len(words) - 2):
+                for n in (3, 4, 5):
+                    if k + n <= len(words):
+                        counts[i, ids.setdefault((" ".join(words[k : k + n]), n), len(ids))] += 1
+        assert {(r.words, r.n): r.ngram_id for r in made.definitions().collect()} == ids
+        got = made.counts().collect()
+        assert {(r[0], r[1]): r[2] for r in got} == dict(counts) and len(got) == len(counts)

@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -223,3 +224,19 @@ def test_ngram_numbers_in_passes(spark, monkeypatch):
         assert {(r.words, r.n): r.ngram_id for r in made.definitions().collect()} == ids
         got = made.counts().collect()
         assert {(r[0], r[1]): r[2] for r in got} == dict(counts) and len(got) == len(counts)
+
+
+def test_marked_chunks_are_kept_once(spark):
+    """Passes and result read one table of chunks with their marks; the chunks without go, unless a result that reads them was handed out."""
+    from flockwatch.operators import gram_tables
+
+    rows = [("u", k, f"a b c d{k % 3} e", D(2024, 1, 1)) for k in range(9)]
+    for early in (False, True):
+        made = gram_tables.Numbered(ngrams.messages(messages(spark, rows)), (3, 4, 5))
+        where = made.chunks.inputFiles()[0].split(":", 1)[1]
+        first = made.definitions() if early else None
+        counts = made.counts()
+        assert os.path.exists("/" + where.lstrip("/")) == early
+        assert counts.groupBy("message_surrogate_id").count().where("count = 6").count() == 9
+        again = sorted(map(tuple, made.definitions().collect()))
+        assert len(again) == 16 and (first is None or sorted(map(tuple, first.collect())) == again)

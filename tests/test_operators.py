@@ -226,6 +226,30 @@ def test_ngram_numbers_in_passes(spark, monkeypatch):
         assert {(r[0], r[1]): r[2] for r in got} == dict(counts) and len(got) == len(counts)
 
 
+def test_repeated_words_in_passes(spark, monkeypatch):
+    """In small chunks, ranges and passes, many users and few: totals and users are those of a plain count, and what is dealt out fits a pass."""
+    from flockwatch.operators import gram_tables
+
+    for name, value in (("CHUNK", 4000), ("WORDS_A_PASS", 600), ("HELD", 64)):
+        monkeypatch.setattr(gram_tables, name, value)
+    texts = [f"a b c d{k % 7} é{k % 3} x y !" if k % 5 else f"-- B a_b {k} c 𝒳 ²" for k in range(800)]
+    texts[7] = "a b c " * 60
+    for users in (3, 600):
+        rows = [(f"u{k * 7 % users}", k, t, D(2024, 1, 1)) for k, t in enumerate(texts)]
+        reps, who = Counter(), defaultdict(set)
+        for user, _, text, _ in rows:
+            words = re.split(r"\W+", text.lower())
+            for n in (3, 4, 5):
+                for k in range(len(words) - n + 1):
+                    reps[gram := (" ".join(words[k : k + n]), n)] += 1
+                    who[gram].add(user)
+        want = sorted((*g, c, len(who[g])) for g, c in reps.items() if c > 1)
+        assert gram_tables.Repeated(ngrams.messages(messages(spark, rows)), (3, 4, 5)).passes == 6
+        got = ngrams.repeated_words(messages(spark, rows))
+        assert sorted(tuple(r) for r in got.collect()) == want and got.schema.simpleString() == "struct<words:string,n:int,total_reps:bigint,distinct_posters:bigint>"
+    assert ngrams.repeated_words(messages(spark, [("a", 1, "two words", D(2024, 1, 1))])).count() == 0
+
+
 def test_marked_chunks_are_kept_once(spark):
     """Passes and result read one table of chunks with their marks; the chunks without go, unless a result that reads them was handed out."""
     from flockwatch.operators import gram_tables

@@ -164,6 +164,22 @@ def test_busy_windows_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in coordination.cooccurrence(posts(spark, rows)).collect()} == want
 
 
+def test_pairs_are_counted_where_they_are_made(spark):
+    """No shuffle carries pairs: the last one carries the users of each window, and users of all blocks meet."""
+    rows = [(f"u{k}", D(2024, 1, 1, 10, k % 20)) for k in range(30)]
+    df = coordination.cooccurrence(posts(spark, rows))
+    got = {(r[0], r[1]): r[2] for r in df.collect()}
+    want = Counter()
+    for low in range(0, 60, 5):
+        users = {u for u, t in rows if low <= t.minute < low + 15}
+        want.update((a, b) for a in users for b in users)
+    assert got == dict(want)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    full = df._jdf.queryExecution().executedPlan().toString()
+    top = full[: full.index("Exchange")]
+    assert "Generate explode(a" in top and "Generate explode(b" in top and "cooccurrence_count" in plan
+
+
 def test_plans_stay_in_the_jvm(spark):
     from flockwatch.plans import catalog
 

@@ -280,3 +280,14 @@ def test_marked_chunks_are_kept_once(spark):
         assert counts.groupBy("message_surrogate_id").count().where("count = 6").count() == 9
         again = sorted(map(tuple, made.definitions().collect()))
         assert len(again) == 16 and (first is None or sorted(map(tuple, first.collect())) == again)
+
+
+def test_export_has_whole_texts(spark):
+    """The exported report has each message's text itself, on every row."""
+    from flockwatch.plans import catalog
+
+    where = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{where}/documents.parquet").select(F.col("doc_id").alias("post identifier"), "text")
+    got = catalog.export_rename(spark, where).join(docs, "post identifier", "left")
+    rows, same = got.agg(F.count(F.lit(1)), F.count_if(F.col("post content") == F.col("text"))).first()
+    assert rows == same > 1000

@@ -291,3 +291,46 @@ def test_export_has_whole_texts(spark):
     got = catalog.export_rename(spark, where).join(docs, "post identifier", "left")
     rows, same = got.agg(F.count(F.lit(1)), F.count_if(F.col("post content") == F.col("text"))).first()
     assert rows == same > 1000
+
+
+def test_repeated_rows_in_passes(spark, monkeypatch):
+    """In small chunks, ranges and passes: rows by message and numbered totals are those of a plain count, and come from the chunks without a join of n-grams."""
+    from flockwatch.operators import gram_tables
+
+    for name, value in (("CHUNK", 400), ("WORDS_A_PASS", 600), ("HELD", 64)):
+        monkeypatch.setattr(gram_tables, name, value)
+    texts = [f"a b c d{k % 7} é{k % 3} x y !" if k % 5 else f"-- B a_b {k} c 𝒳 ²" for k in range(300)]
+    texts[7] = "a b c " * 60
+    for users in (3, 280):
+        rows = [(f"u{k * 7 % users}", k, t, D(2024, 1, 1)) for k, t in enumerate(texts)]
+        reps, by_user, ids, own = Counter(), Counter(), {}, set()
+        for user, m, text, _ in rows:
+            words = re.split(r"\W+", text.lower())
+            for k in range(len(words) - 2):
+                for n in (3, 4, 5):
+                    if k + n <= len(words):
+                        gram = " ".join(words[k : k + n]), n
+                        ids.setdefault(gram, len(ids))
+                        reps[gram] += 1
+                        by_user[gram, user] += 1
+                        own.add((gram, user, m))
+        who = Counter(g for g, _ in by_user)
+        made = ngrams.repeated_summary(messages(spark, rows))
+        assert sorted(map(tuple, made.collect())) == sorted((ids[g], *g, c, who[g]) for g, c in reps.items() if c > 1)
+        made = ngrams.repeated_words_full(messages(spark, rows))
+        assert sorted(map(tuple, made.collect())) == sorted((*g, reps[g], who[g], u, by_user[g, u], m) for g, u, m in own if reps[g] > 1)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan and "Join" not in plan
+    none = messages(spark, [("a", 1, "two words", D(2024, 1, 1))])
+    assert ngrams.repeated_summary(none).count() == 0 and ngrams.repeated_words_full(none).count() == 0
+
+
+def test_summary_is_put_in_order_by_many_tasks(spark):
+    """The sort of the numbered summary is not drawn into one task, and no words move in it."""
+    from flockwatch.plans import catalog
+
+    made = catalog.summary_in_order(spark, "/root/testdata/sf0.001")
+    assert "Repartition 1" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = made.orderBy("nth").collect()
+    assert [r.nth for r in rows] == list(range(1, len(rows) + 1))
+    assert all((-a.n, -a.total_reps, -a.distinct_posters, a.ngram_id) < (-b.n, -b.total_reps, -b.distinct_posters, b.ngram_id) for a, b in zip(rows, rows[1:]))

@@ -334,3 +334,14 @@ def test_summary_is_put_in_order_by_many_tasks(spark):
     rows = made.orderBy("nth").collect()
     assert [r.nth for r in rows] == list(range(1, len(rows) + 1))
     assert all((-a.n, -a.total_reps, -a.distinct_posters, a.ngram_id) < (-b.n, -b.total_reps, -b.distinct_posters, b.ngram_id) for a, b in zip(rows, rows[1:]))
+
+
+def test_pairs_are_put_in_order_by_many_tasks(spark):
+    """The sort of the pairs is not drawn into one task, and numbers follow it."""
+    from flockwatch.plans import catalog
+
+    made = catalog.pairs_in_order(spark, "/root/testdata/sf0.001")
+    assert "Repartition 1" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = made.orderBy("nth").collect()
+    assert [r.nth for r in rows] == list(range(1, len(rows) + 1))
+    assert all((-a[3], a[1], a[2]) < (-b[3], b[1], b[2]) for a, b in zip(rows, rows[1:]))

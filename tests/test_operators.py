@@ -345,3 +345,16 @@ def test_pairs_are_put_in_order_by_many_tasks(spark):
     rows = made.orderBy("nth").collect()
     assert [r.nth for r in rows] == list(range(1, len(rows) + 1))
     assert all((-a[3], a[1], a[2]) < (-b[3], b[1], b[2]) for a, b in zip(rows, rows[1:]))
+
+
+def _rows_are_made_last(df):
+    """No join, sort or count is above the step that makes a report's rows, and a message's own columns are repeated after it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("MapInArrow")]
+    return "Generate inline" in top and not any(x in top for x in ("Join", "Sort", "Aggregate", "Repartition"))
+
+
+def test_export_rows_are_made_where_their_chunk_is(spark):
+    from flockwatch.plans import catalog
+
+    assert _rows_are_made_last(catalog.export_rename(spark, "/root/testdata/sf0.001"))

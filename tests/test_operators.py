@@ -358,3 +358,38 @@ def test_export_rows_are_made_where_their_chunk_is(spark):
     from flockwatch.plans import catalog
 
     assert _rows_are_made_last(catalog.export_rename(spark, "/root/testdata/sf0.001"))
+
+
+def _small_report(spark, monkeypatch):
+    """Messages in many small chunks, ranges, passes and lists, and the rows of their report, in order, by plain counts."""
+    from flockwatch.operators import gram_tables
+
+    for name, value in (("CHUNK", 400), ("WORDS_A_PASS", 600), ("HELD", 64), ("LIST", 300)):
+        monkeypatch.setattr(gram_tables, name, value)
+    texts = [f"A b c d{k % 7} é{k % 3} x y !" if k % 5 else f"-- B a_b {k} c 𝒳 ²" for k in range(200)]
+    texts[7], texts[9] = "a b c " * 60, ""
+    rows = [(f"u{k * 7 % 23}", k, t, D(2024, 1, 1) + timedelta(seconds=k)) for k, t in enumerate(texts)]
+    reps, by_user, ids, own = Counter(), Counter(), {}, set()
+    for user, m, text, _ in rows:
+        words = re.split(r"\W+", text.lower())
+        for k in range(len(words) - 2):
+            for n in (3, 4, 5):
+                if k + n <= len(words):
+                    gram = " ".join(words[k : k + n]), n
+                    ids.setdefault(gram, len(ids))
+                    reps[gram] += 1
+                    by_user[gram, user] += 1
+                    own.add((gram, m))
+    who = Counter(g for g, _ in by_user)
+    want = [(ids[g], g[1], g[0], reps[g], who[g], rows[m][0], by_user[g, rows[m][0]], m + 1, *rows[m][1:]) for g, m in own if reps[g] > 1]
+    return messages(spark, rows), sorted(want, key=lambda r: (-r[1], -r[3], -r[4], -r[6], r[5], r[7], r[0]))
+
+
+def test_report_in_passes(spark, monkeypatch):
+    """All columns of the report are those of plain counts, and its rows are in no join or sort."""
+    from flockwatch.plans import catalog
+
+    assert _rows_are_made_last(catalog.ngram_report(spark, "/root/testdata/sf0.001"))
+    df, want = _small_report(spark, monkeypatch)
+    assert sorted(map(tuple, ngrams.repeated_report(df).collect())) == sorted(want)
+    assert ngrams.repeated_report(messages(spark, [("a", 1, "two words", D(2024, 1, 1))])).count() == 0

@@ -393,3 +393,15 @@ def test_report_in_passes(spark, monkeypatch):
     df, want = _small_report(spark, monkeypatch)
     assert sorted(map(tuple, ngrams.repeated_report(df).collect())) == sorted(want)
     assert ngrams.repeated_report(messages(spark, [("a", 1, "two words", D(2024, 1, 1))])).count() == 0
+
+
+def test_report_is_numbered_in_order_where_its_rows_are(spark, monkeypatch):
+    """Places in the order of the report are those of a plain sort, but only cells of chunks are sorted, not rows."""
+    from flockwatch.plans import catalog
+
+    assert _rows_are_made_last(catalog.report_in_order(spark, "/root/testdata/sf0.001"))
+    df, want = _small_report(spark, monkeypatch)
+    columns = ("nth", "n", "total_reps", "distinct_posters", "reps_per_user", "user_id", "message_surrogate_id", "ngram_id")
+    got = ngrams.repeated_report_in_order(df).select(*columns).orderBy("nth").collect()
+    assert [tuple(r) for r in got] == [(k, r[1], r[3], r[4], r[6], r[5], r[7], r[0]) for k, r in enumerate(want, 1)]
+    assert ngrams.repeated_report_in_order(messages(spark, [("a", 1, "two words", D(2024, 1, 1))])).count() == 0

@@ -180,6 +180,48 @@ def test_pairs_are_counted_where_they_are_made(spark):
     assert "Generate explode(a" in top and "Generate explode(b" in top and "cooccurrence_count" in plan
 
 
+def test_pairs_are_counted_in_batches(spark):
+    """No row is made for a pair and window: what counts is one step, of batches, and lists of users with one count are taken apart above it."""
+    import random
+
+    rand = random.Random(3)
+    zoned = spark.createDataFrame([(rand.randrange(700), D(2024, 1, 1, 10, rand.randrange(60))) for _ in range(1500)], "user_id int, timestamp timestamp_ntz")
+    zoned = zoned.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    df = coordination.cooccurrence(zoned, first_window="all")
+    full = df._jdf.queryExecution().executedPlan().toString()
+    top = full[: full.index("Exchange")]
+    assert "MapInArrow" in top and "Aggregate" not in top
+    windows = zoned.select(F.window("timestamp", "15 minutes", "5 minutes")["start"].alias("w"), "user_id").distinct()
+    want = windows.join(windows.withColumnRenamed("user_id", "other"), "w").groupBy("user_id", "other").count()
+    assert Counter(map(tuple, df.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_pairs_by_lists_and_by_matrix(monkeypatch):
+    """Both ways to count, in pieces of any size, give what sets of windows give."""
+    import numpy as np
+    import pyarrow as pa
+
+    rand = np.random.default_rng(5)
+
+    def side(users, share):
+        there = rand.random((users, 40)) < share
+        there[0] = False  # one who meets nobody
+        return (pa.array([f"{users}-{k}" for k in range(users)]), *np.nonzero(there)), there.astype(int)
+
+    (one, x), (two, y) = side(30, 0.1), side(50, 0.6)
+    for dense, tile, step, held, rows in [(0, 7, 8, 9, 10), (10**9, 7, 8, 9, 10), (32, 256, 1024, 1 << 20, 1 << 19)]:
+        for name, value in {"DENSE": dense, "TILE": tile, "STEP": step, "HELD": held, "ROWS": rows}.items():
+            monkeypatch.setattr(coordination, name, value)
+        for other, times, own in [(two, x @ y.T, False), (one, x @ x.T, True)]:
+            want = Counter({(one[0][a].as_py(), other[0][b].as_py(), int(times[a, b])): 1 for a, b in zip(*np.nonzero(times))})
+            want.update({(b, a, n): 1 for a, b, n in list(want)} if not own else {})
+            got = Counter()
+            for batch in coordination._meet(one, other, own):
+                for r in batch.to_pylist():
+                    got.update((a, b, r["cooccurrence_count"]) for a in r["a"] for b in r["b"])
+            assert got == want
+
+
 def test_plans_stay_in_the_jvm(spark):
     from flockwatch.plans import catalog
 
